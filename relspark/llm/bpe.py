@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_STATES = 250_000
+MAX_STATES = 500_000
 """Deterministic states, pieces and transitions kept at once; beyond that they are built anew."""
 
 
@@ -113,24 +115,20 @@ class Transducer:
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The next state and the tokens that are certain now."""
-        live, least, closed = [], None, False
+        live, end, child, inner, rank_at = [], None, self.child, self.inner, self.rank_at
         for last, pending, node in self.states[state]:
-            to = self.child.get(node << 8 | byte)
+            to = child.get(node << 8 | byte)
             if to is None:
                 continue
-            if self.inner[to]:
+            if inner[to]:
                 live.append((last, pending, to))
-                if least is None or len(pending) < len(least):
-                    least = pending
-            rank = self.rank_at[to]
-            if rank != NEVER and not closed:  # one configuration at most ends a token here
+            if end is None and (rank := rank_at[to]) != NEVER:  # one configuration at most ends a token here
                 before = pending[-1] if pending else last
                 if before == NEVER or self.fits(before, rank):
-                    closed = True
-                    live.append((last, (*pending, rank), 0))
-                    if least is None:
-                        least = live[-1][1]
-        sure = least
+                    end = (last, (*pending, rank), 0)
+        if end:
+            live.append(end)
+        sure = live[0][1] if live else ()
         if sure:
             for _, pending, _ in live:
                 n = 0
@@ -184,6 +182,13 @@ class Decoder:
 
     def __init__(self, token: dict[int, bytes]):
         self.token, self.known, self.state = token, {}, b""
+        self.whole: list[str | None] = [None] * (max(token, default=-1) + 1)
+        for i, data in token.items():
+            at, text = b"", ""
+            for byte in data:
+                at, more = self.advance(at, byte)
+                text += more
+            self.whole[i] = None if at or "\ufffd" in text else text
 
     @staticmethod
     def advance(state: bytes, byte: int) -> tuple[bytes, str]:
@@ -205,36 +210,71 @@ class Decoder:
         return b"", "�"
 
     def feed(self, ids: list[int]) -> str:
-        out, state, known = [], self.state, self.known
-        for i in ids:
-            found = known.get((state, i))
-            if found is None:
-                at, text = state, ""
-                for byte in self.token[i]:
-                    at, more = self.advance(at, byte)
-                    text += more
-                if len(known) >= MAX_STATES:
-                    known.clear()
-                found = known[state, i] = (at, text)
-            state, text = found
-            out.append(text)
-        self.state = state
+        """The text that is certain after these ids. Runs of tokens that are whole texts need no machine."""
+        out = [self.whole[i] for i in ids]
+        at = 0 if self.state else out.index(None) if None in out else len(out)
+        while at < len(out):
+            out[at] = self.move(ids[at])
+            if self.state:
+                at += 1
+            else:
+                try:
+                    at = out.index(None, at + 1)
+                except ValueError:
+                    break
         return "".join(out)
 
+    def move(self, token: int) -> str:
+        key = (self.state, token)
+        found = self.known.get(key)
+        if found is None:
+            at, text = self.state, ""
+            for byte in self.token[token]:
+                at, more = self.advance(at, byte)
+                text += more
+            if len(self.known) >= MAX_STATES:
+                self.known.clear()
+            found = self.known[key] = (at, text)
+        self.state = found[0]
+        return found[1]
+
     def close(self) -> str:
         state, self.state = self.state, b""
         return "�" if state else ""
 
 
+def splitters(pattern: str) -> tuple[Callable, Callable]:
+    """Functions that give the matches of the pattern (without groups): for any text, and a faster one for
+    Latin-1 texts, in which the classes of letters, numbers and white space are spelt out. White space is
+    Unicode's property, as in the public tokenizers' own libraries, not Python's wider class."""
+    here = [chr(c) for c in range(256)]
+    spelt = {name: "".join(re.escape(c) for c in here if regex.fullmatch(rf"\p{{{name}}}", c)) for name in ("L", "N", "White_Space")}
+    spaced = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+    latin, inside = "", False
+    for part in re.findall(r"\\[pP]\{\w+\}|\\.|.", spaced, re.S):
+        if m := re.fullmatch(r"\\([pP])\{(\w+)\}", part):
+            part = spelt[m[2]] if inside else f"[{'^' * (m[1] == 'P')}{spelt[m[2]]}]"
+        inside = part == "[" or inside and part != "]"
+        latin += part
+    return regex.compile(spaced).findall, re.compile(latin).findall
+
+
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pieces = Pieces(self.transducer)
-        self.split = regex.compile(pattern).findall
+        self.any, self.latin = splitters(pattern)
         self.decoder = Decoder(self.transducer.token)
 
+    def split(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.any(text)
+        return self.latin(text)
+
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text or "")))
 
