@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relspark.llm import bpe, katz, licenses, mixing, quality, simhash, substring, syncmers, urls
+from relspark.llm import bpe, cotrain, katz, licenses, mixing, quality, simhash, substring, syncmers, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_bpe, op4_simhash, op5_katz, op6_substring_dedup, op7_syncmers, op8_url_filter, op9_quality_rules, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_cotraining, op2_mixing, op3_bpe, op4_simhash, op5_katz, op6_substring_dedup, op7_syncmers, op8_url_filter, op9_quality_rules, op10_license_scan)}
 ORACLE_SQL = {"op8_url_filter": urls.digest_sql()}
