@@ -31,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relspark.llm.common import Words, mix, slices
-from relspark.llm.substring import pack, unpack
+from relspark.llm.substring import deltas, pack, summed, unpack
 
 GT_MAX = 5
 MIN_PAIRS = 2
 HELD_OUT = (7, 2)
 BUCKET_CHARS = 8 << 20
+PAIR_BITS = np.uint64(2**64 - 2**9)
+"""Pairs are told apart by 55 bits, of which the bucket takes the first: 48 or more are left at 128 buckets, and buckets keep their size."""
 END = np.uint64(0x656E640A656E640A)
-STATE = "slice long, ids binary, none binary, held binary, size binary, words binary, counts binary, tokens binary"
+STATE = "slice long, ids binary, none binary, held binary, size binary, words binary, counts binary, every binary, tokens binary"
 COUNTED = GT_MAX + 3  # the total, the number of distinct ones, and those that occur 1 to GT_MAX + 1 times
 
 
@@ -68,24 +70,32 @@ def coded(docs: DataFrame) -> DataFrame:
                 key[inside] = w.hashes()
                 ids = part.column("doc_id").to_pylist()
                 held = np.array([held_out(i) for i in ids], bool)
-                words, tokens = np.unique(key, return_inverse=True)
+                words, tokens, every = np.unique(key, return_inverse=True, return_counts=True)
                 train = ~np.repeat(held, w.count + 1)
                 counts = np.bincount(tokens[train], minlength=len(words))
                 none = np.array([i is None for i in ids])
-                row = [number, pack(np.array([i or 0 for i in ids], "<i8")), pack(none), pack(held), pack((w.count + 1).astype("<u4")), words.tobytes(), pack(counts.astype("<u4")), pack(tokens.astype("<u4"))]
+                row = [number, pack(np.array([i or 0 for i in ids], "<i8")), pack(none), pack(held), pack((w.count + 1).astype("<u4")), deltas(words), pack(counts.astype("<u4")), pack(every.astype("<u4")), pack(_by_frequency(every)[1][tokens].astype("<u4"))]
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
                 number += 1
 
     return docs.select("doc_id", "text").mapInArrow(run, STATE)
 
 
+def _by_frequency(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' order by frequency in the slice and each word's rank in it: tokens are kept as ranks, which are mostly small."""
+    order = np.argsort(-every.astype(np.int64), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return order, rank
+
+
 class Slice:
     """A row of the state, unpacked as far as it goes."""
 
     def __init__(self, row: dict, min_pairs: int):
         self.number = row["slice"]
-        self.words = np.frombuffer(row["words"], "<u8")
-        self.counts, tokens = unpack(row["counts"], "<u4"), unpack(row["tokens"], "<u4").astype(np.int64)
+        self.words = summed(row["words"], "<u8")
+        self.counts, tokens = unpack(row["counts"], "<u4"), _by_frequency(unpack(row["every"], "<u4"))[0][unpack(row["tokens"], "<u4")]
         self.size, self.held = unpack(row["size"], "<u4").astype(np.int64), unpack(row["held"], "bool")
         self.row, self.tokens = row, tokens
         first = np.cumsum(self.size) - self.size
@@ -107,7 +117,7 @@ class Slice:
             able = self.known >= min_pairs
             self.pair_at = np.flatnonzero(able[tokens] & able[self.before])
             code = mix(self.words)[self.before[self.pair_at]] * np.uint64(0x9E3779B97F4A7C15) + self.words[tokens[self.pair_at]]
-            self.pairs, self.pair_first, self.pair_of = np.unique(mix(code), return_index=True, return_inverse=True)
+            self.pairs, self.pair_first, self.pair_of = np.unique(mix(code) & PAIR_BITS, return_index=True, return_inverse=True)
             self.histories = np.unique(self.before[able[self.before]])  # ascending places are ascending words
         if row.get("a2") is not None:
             self.pair_count = answer(row["a2"], "v", "<u8")
@@ -156,14 +166,14 @@ def ask(state: DataFrame, request: Callable, buckets: int, kinds: tuple[str, str
                 s = Slice(row, min_pairs)
                 key, p, q = request(s)
                 cuts = np.searchsorted(key >> high, np.arange(buckets + 1, dtype=np.uint64))
-                rows = [(b, s.number, key[i:j].tobytes(), pack(p[i:j].astype(kinds[0])), pack(q[i:j].astype(kinds[1]))) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if j > i]
+                rows = [(b, s.number, deltas(key[i:j]), pack(p[i:j].astype(kinds[0])), pack(q[i:j].astype(kinds[1]))) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if j > i]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def meet(group: pa.Table) -> pa.Table:
         schema = _names(back)
         rows = group.sort_by("slice").to_pydict()
-        keys = [np.frombuffer(k, "<u8") for k in rows["key"]]
+        keys = [summed(k, "<u8") for k in rows["key"]]
         p, q = (np.concatenate([unpack(x, kind) for x in rows[c]]) for c, kind in zip("pq", kinds))
         distinct, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         sums = [np.bincount(of, weights=x.astype(np.float64), minlength=len(distinct)) for x in (p, q)]
