@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_STATES = 500_000
+MAX_STATES = 300_000
 """Deterministic states, pieces and transitions kept at once; beyond that they are built anew."""
 
 
@@ -278,6 +278,13 @@ class Codec:
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text or "")))
 
+    def forget(self) -> None:
+        """Gives back what was kept, so that an idle worker is small."""
+        self.pieces.clear()
+        self.transducer.reset()
+        self.transducer.apart.clear()
+        self.decoder.known.clear()
+
     def decode(self, ids: bytes) -> str:
         return self.decoder.feed(np.frombuffer(ids, "<u4").tolist()) + self.decoder.close()
 
@@ -324,6 +331,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
                     ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
                 yield pa.RecordBatch.from_arrays(cols, names=[*others, *added])
+        codec.forget()
 
     return docs.mapInArrow(run, schema)
 
