@@ -13,19 +13,20 @@ from relspark.operators.relation import NotFound, Range, RelationDef
 from relspark.sources.work import ranked
 
 
-def same_key(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on &= a[k].eqNullSafe(b[k])
-    return on
+def normalized(new: DataFrame, hooks: dict[str, Column]) -> DataFrame:
+    """Rows as they are to be stored: each hook gives a column's value from the row, before any key is compared."""
+    return new.withColumns(hooks)
 
 
 def _absent(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     return new.alias("n").join(old.alias("o"), _on(keys), "left_anti")
 
 
-def _present(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
-    return new.alias("n").join(old.alias("o"), _on(keys), "left_semi")
+def _counts(new: DataFrame, fresh: DataFrame, rest: str) -> DataFrame:
+    """inserted (the fresh rows) and the other new rows, from one pass over each."""
+    marks = new.select(F.lit(1).alias("a"), F.lit(0).alias("f")).unionAll(fresh.select(F.lit(0), F.lit(1)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return marks.agg(total("f").alias("inserted"), (total("a") - total("f")).alias(rest))
 
 
 def _on(keys: list[str]) -> Column:
@@ -38,7 +39,7 @@ def _on(keys: list[str]) -> Column:
 def insert(old: DataFrame, new: DataFrame, d: RelationDef) -> tuple[DataFrame, DataFrame]:
     """Adds rows whose key is absent; rows of present keys are left out. Counts: inserted, rejected. new: keys are unique."""
     fresh = _absent(new, old, d.unique)
-    counts = new.agg(F.count("*").alias("_all")).join(fresh.agg(F.count("*").alias("inserted"))).select("inserted", (F.col("_all") - F.col("inserted")).alias("rejected"))
+    counts = _counts(new, fresh, "rejected")
     return old.unionByName(fresh), counts
 
 
@@ -53,7 +54,7 @@ def upsert(old: DataFrame, new: DataFrame, d: RelationDef, sequence: str | None
     else:
         last = new.select(*columns)
     fresh = _absent(last, old, d.unique)
-    counts = new.agg(F.count("*").alias("_all")).join(fresh.agg(F.count("*").alias("inserted"))).select("inserted", (F.col("_all") - F.col("inserted")).alias("updated"))
+    counts = _counts(new, fresh, "updated")
     return _absent(old, last, d.unique).unionByName(last), counts
 
 

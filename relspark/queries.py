@@ -771,7 +771,15 @@ def pairs_erase(spark, d):
 @query("select min(c_mktsegment || '/' || c_name) as first, max(c_mktsegment || '/' || c_name) as last from customer where c_mktsegment like 'M%'")
 def pairs_first_last(spark, d):
     p = _pairs(spark, d)
-    return pairs.first(p, b"M").select(F.col("key").cast("string").alias("first")).join(pairs.last(p, b"M").select(F.col("key").cast("string").alias("last")))
+    ends = pairs.first(p, b"M").select(F.col("key").alias("first"), F.lit(None).cast("binary").alias("last")).union(pairs.last(p, b"M").select(F.lit(None).cast("binary"), "key"))
+    return ends.agg(F.max("first").cast("string").alias("first"), F.max("last").cast("string").alias("last"))
+
+
+@query("select s_suppkey, upper(s_name) as s_name from supplier")
+def insert_normalized(spark, d):
+    new = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    d_ = RelationDef(["s_suppkey"])
+    return mutate.insert(new.limit(0), mutate.normalized(new, {"s_name": F.upper("s_name")}), d_)[0]
 
 
 @query("select c_mktsegment || '/' || c_name as key, cast(c_custkey as varchar) as value from customer")

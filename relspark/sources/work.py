@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,7 +30,8 @@ def ranked(df: DataFrame, order: list[Column], to: str = "rn") -> DataFrame:
     ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = kept(ranges.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
-    counts = placed.groupBy(part.alias("_part")).count()  # a row for each range
-    before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_before"))
+    counts = placed.groupBy(part.alias("_part")).count()  # a row for each range, so one task may order them
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
     numbered = placed.withColumn("_part", part).join(F.broadcast(before), "_part")
     return numbered.withColumn(to, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_part", "_before")
