@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from relspark.operators.orderer import Orderer
 from relspark.operators.relation import NotFound, Range, RelationDef
+from relspark.operators.stats import size_of
 from relspark.sources.work import ranked
 
 
@@ -22,6 +23,10 @@ def _absent(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     return new.alias("n").join(old.alias("o"), _on(keys), "left_anti")
 
 
+def _present(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+    return new.alias("n").join(old.alias("o"), _on(keys), "left_semi")
+
+
 def _counts(new: DataFrame, fresh: DataFrame, rest: str) -> DataFrame:
     """inserted (the fresh rows) and the other new rows, from one pass over each."""
     marks = new.select(F.lit(1).alias("a"), F.lit(0).alias("f")).unionAll(fresh.select(F.lit(0), F.lit(1)))
@@ -58,6 +63,16 @@ def upsert(old: DataFrame, new: DataFrame, d: RelationDef, sequence: str | None
     return _absent(old, last, d.unique).unionByName(last), counts
 
 
+def upsert_with_sizes(old: DataFrame, new: DataFrame, d: RelationDef) -> tuple[DataFrame, DataFrame]:
+    """As upsert; counts: bytes of the keys and values written and of those replaced (of the columns as text)."""
+    values = [c for c in old.columns if c not in d.pk]
+    sizes = lambda df, name: df.select(F.lit(name).alias("what"), size_of(d.pk).alias("k"), size_of(values).alias("v"))
+    marks = sizes(new, "new").unionAll(sizes(_present(old, new, d.unique), "old"))
+    total = lambda what, c: F.coalesce(F.sum(F.when(F.col("what") == what, F.col(c))), F.lit(0))
+    counts = marks.agg(*(total(w, c).alias(f"{w}_{n}_bytes") for w in ("new", "old") for c, n in (("k", "key"), ("v", "value"))))
+    return upsert(old, new, d)[0], counts
+
+
 def update(old: DataFrame, new: DataFrame, d: RelationDef) -> tuple[DataFrame, DataFrame]:
     """As upsert, but keys that are absent raise NotFound."""
     if not _absent(new, old, d.unique).isEmpty():
@@ -102,9 +117,8 @@ def remove_all(old: DataFrame, veto: Column | None = None) -> DataFrame:
 def remove_with_sizes(old: DataFrame, d: RelationDef, *prefix) -> tuple[DataFrame, DataFrame]:
     """As remove; counts: removed, key_bytes and value_bytes (of the columns as text)."""
     hit = _prefix(d, prefix, None)
-    size = lambda cs: sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in cs), F.lit(0).cast("long"))
     values = [c for c in old.columns if c not in d.pk]
-    counts = old.where(hit).agg(F.count("*").alias("removed"), F.coalesce(F.sum(size(d.pk)), F.lit(0)).alias("key_bytes"), F.coalesce(F.sum(size(values)), F.lit(0)).alias("value_bytes"))
+    counts = old.where(hit).agg(F.count("*").alias("removed"), F.coalesce(F.sum(size_of(d.pk)), F.lit(0)).alias("key_bytes"), F.coalesce(F.sum(size_of(values)), F.lit(0)).alias("value_bytes"))
     return old.where(~hit), counts
 
 

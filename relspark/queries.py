@@ -833,3 +833,78 @@ def log_types_from_metadata(spark, d):
     data = table(spark, d, "events").withColumnRenamed("event_type", "type_id")
     types = data.where("type_id <> 'error'").select("type_id", F.concat(F.lit("T"), "type_id").alias("name")).distinct()
     return log.with_type(data, types)[0].select("event_id", "name")
+
+
+@query("select c_mktsegment || '/' || c_name as key, case when c_custkey % 5 = 0 then 'new' else cast(c_custkey as varchar) end as value from customer")
+def pairs_put(spark, d):
+    p = _pairs(spark, d)
+    new = table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.concat("c_mktsegment", F.lit("/"), "c_name").cast("binary").alias("key"), F.lit("new").cast("binary").alias("value"))
+    return pairs.put(p, new).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query("select case when s_suppkey = 1 then s_name || '/renamed' else s_name end as key from supplier")
+def pairs_update_suffix(spark, d):
+    s = table(spark, d, "supplier")
+    name = s.where("s_suppkey = 1").first().s_name
+    p = s.select(F.col("s_name").cast("binary").alias("key"), F.lit("v").cast("binary").alias("value"))
+    return pairs.update_suffix(p, name.encode(), f"{name}/renamed".encode())[0].select(F.col("key").cast("string").alias("key"))
+
+
+@query("select sum(strlen(cast(o_orderkey as varchar))) as new_key_bytes, sum(strlen(cast(o_custkey as varchar)) + 1) as new_value_bytes, sum(case when o_orderkey % 3 > 0 then strlen(cast(o_orderkey as varchar)) else 0 end) as old_key_bytes, sum(case when o_orderkey % 3 > 0 then strlen(cast(o_custkey as varchar)) + strlen(o_orderstatus) else 0 end) as old_value_bytes from orders where o_orderkey % 2 = 0")
+def upsert_with_sizes(spark, d):
+    return mutate.upsert_with_sizes(*_halves(spark, d), ORDERS)[1]
+
+
+@query("select o_custkey, case when o_custkey % 2 = 0 then timestamp '2030-01-01' else max(o_orderdate) end as last from orders group by o_custkey")
+def upsert_in_key(spark, d):
+    """A new in-key value takes the place of the row with the same unique key."""
+    old = table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"))
+    new = old.where("o_custkey % 2 = 0").select("o_custkey", at("2030-01-01").alias("last"))
+    return mutate.upsert(old, new, RelationDef(["o_custkey", "last"], in_key=["last"]))[0]
+
+
+@query("select s_suppkey as key from supplier where s_suppkey <> 3")
+def dict_keys_after_removal(spark, d):
+    return _dict(spark, d).remove_range(Range(3, 3))[0].keys()
+
+
+@query("select count(*) as n from supplier")
+def dict_count(spark, d):
+    return _dict(spark, d).count()
+
+
+@query("select s_name as value from supplier")
+def dict_values(spark, d):
+    return _dict(spark, d).values()
+
+
+@query("select conv_id, count(*) as n from conversations group by conv_id")
+def count_by_prefix_for_all(spark, d):
+    return stats.group_count(table(spark, d, "conversations"), "conv_id")
+
+
+@query("select p_partkey, p_size from part where p_brand = 'Brand#1' and p_type like '%A%'")
+def scan_by_brand_and_type(spark, d):
+    return part(spark, d).scan_by(c.exact("Brand#1"), c.contains("A"), index="Brand").select("p_partkey", "p_size")
+
+
+@query("select count(*) as total from part where p_size < 20")
+def gather_total_by_secondary(spark, d):
+    return part(spark, d).gather_total(c.up_to(20, including=False), index="Size")
+
+
+@query("select doc_id as oid, 'document' as type from documents where lang <> 'en'")
+def object_delete_all_of_type(spark, d):
+    """Objects left when those of one kind are gone."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("oid"), F.lit("document").alias("type"), "lang")
+    return mutate.remove(docs, RelationDef(["lang", "oid"]), "en")[0].select("oid", "type")
+
+
+@query("select 2 as version")
+def snapshots_first_difference(spark, d):
+    a, b = Store(spark, work_path(spark)), Store(spark, work_path(spark))
+    s = table(spark, d, "supplier")
+    for store, least in ((a, 5), (b, 6)):
+        store.commit({"supplier": s})
+        store.commit({"supplier": s.where(F.col("s_suppkey") > least)})
+    return spark.range(1).select(F.lit(a.first_difference(b, "supplier")).alias("version"))
