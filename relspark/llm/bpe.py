@@ -28,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_STATES = 300_000
-"""Deterministic states, pieces and transitions kept at once; beyond that they are built anew."""
+from relspark.llm.common import release
+
+MAX_STATES, MAX_PIECES = 150_000, 250_000
+"""Transitions (with their states, and pairs of tokens) and pieces kept at once; beyond that they are built anew."""
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -169,7 +171,7 @@ class Pieces(dict):
         self.transducer = transducer
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_STATES:
+        if len(self) >= MAX_PIECES:
             self.clear()
         ids = np.array(self.transducer.encode(piece.encode("utf-8", "replace")), "<u4").tobytes()
         if len(piece) <= 64:
@@ -278,22 +280,16 @@ class Codec:
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text or "")))
 
-    def forget(self) -> None:
-        """Gives back what was kept, so that an idle worker is small."""
-        self.pieces.clear()
-        self.transducer.reset()
-        self.transducer.apart.clear()
-        self.decoder.known.clear()
-
     def decode(self, ids: bytes) -> str:
         return self.decoder.feed(np.frombuffer(ids, "<u4").tolist()) + self.decoder.close()
 
 
 _codecs: dict = {}
+"""The codec of the task that runs; it goes when the task ends, so that idle workers are small."""
 
 
 def _codec(shared, pattern: str) -> Codec:
-    """One codec for each worker process and vocabulary."""
+    """The codec of this worker process for a vocabulary."""
     key = (shared.id if hasattr(shared, "id") else id(shared), pattern)
     if key not in _codecs:
         _codecs.clear()
@@ -331,7 +327,9 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
                     ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
                 yield pa.RecordBatch.from_arrays(cols, names=[*others, *added])
-        codec.forget()
+        _codecs.clear()
+        del codec
+        release()
 
     return docs.mapInArrow(run, schema)
 

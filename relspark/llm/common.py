@@ -6,6 +6,9 @@ on the UTF-8 bytes of an Arrow column at once, so a task holds one slice of a ba
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -121,6 +124,16 @@ class Words:
         return self.buf[self.start[k] : self.end[k]].tobytes()
 
 
+def release() -> None:
+    """Gives memory back at the end of a task: workers live on, and an idle one should be small."""
+    for powers in (*_POWERS, *_STEPS):
+        powers.up = powers.down = np.ones(1, np.uint64)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rolling(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     """Hashes of every n consecutive entries; shorter by n - 1."""
     if len(h) < n:
@@ -139,5 +152,6 @@ def per_slice(make: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: s
             for part in slices(batch, column):
                 if (out := make(part)) is not None and out.num_rows:
                     yield out
+        release()
 
     return run

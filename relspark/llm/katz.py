@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import Words, mix, slices
+from relspark.llm.common import Words, mix, release, slices
 from relspark.llm.substring import deltas, pack, summed, unpack
 
 GT_MAX = 5
@@ -77,6 +77,7 @@ def coded(docs: DataFrame) -> DataFrame:
                 row = [number, pack(np.array([i or 0 for i in ids], "<i8")), pack(none), pack(held), pack((w.count + 1).astype("<u4")), deltas(words), pack(counts.astype("<u4")), pack(every.astype("<u4")), pack(_by_frequency(every)[1][tokens].astype("<u4"))]
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
                 number += 1
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, STATE)
 
@@ -169,6 +170,7 @@ def ask(state: DataFrame, request: Callable, buckets: int, kinds: tuple[str, str
                 rows = [(b, s.number, deltas(key[i:j]), pack(p[i:j].astype(kinds[0])), pack(q[i:j].astype(kinds[1]))) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if j > i]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        release()
 
     def meet(group: pa.Table) -> pa.Table:
         schema = _names(back)
@@ -270,5 +272,6 @@ def score(docs: DataFrame, min_pairs: int = MIN_PAIRS) -> DataFrame:
                 sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), base, _score(s)[0])]
                 cols = [ids, pa.array(s.held), pa.array(s.size), pa.array(sums[0]), pa.array(np.full(len(s.size), s.total, np.int64)), *map(pa.array, sums[1:])]
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in RESULT.split(", ")])
+        release()
 
     return state.mapInArrow(run, RESULT)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relspark.llm.common import Words, rolling, slices, written
+from relspark.llm.common import Words, release, rolling, slices, written
 
 WINDOW, BLOCK = 20, 10
 BUCKET_CHARS = 8 << 20
@@ -114,6 +114,7 @@ def _exchange(docs: DataFrame, entries: Callable, buckets: int, wide: bool) -> D
                     put(bucket=b, slice=number, key=pack(key[rep[mine]].astype(kind)) if not wide else key[rep[mine]].astype(kind).tobytes(), at=deltas(at[rep[mine]].astype("<u4")), flag=pack((several | flagged)[mine]), **more)
             put(bucket=-1 - number, slice=number, id=pack(ids), th=pack(ths), first=pack(w.first.astype("<u4")), rep=pack(at[rep[same[follows]]].astype("<u4")), follower=deltas(at[follows].astype("<u4")))
             yield pa.RecordBatch.from_pydict(rows, schema=arrow)
+        release()
 
     arrow = pa.schema([pa.field(c.split()[0], pa.int64() if c.endswith("long") else pa.binary()) for c in PACKED.split(", ")])
     back = pa.schema([pa.field(c.split()[0], pa.int64() if c.endswith("long") else pa.binary()) for c in FOUND.split(", ")])
@@ -248,6 +249,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, d
                         out[row] = w.buf[w.at[row] : end][keep].tobytes().decode()
                 cols = [*(part.column(c) for c in others), *[pa.array(out, pa.string())] * (not digests), pa.array(w.count.astype(np.int64)), pa.array(removed), *[pa.array(out, pa.string())] * digests]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        release()
 
     done = whole.drop("_id", "_th").mapInArrow(finish, schema)
     return done if digests else done.select(*docs.columns, "n_words", "n_removed")
