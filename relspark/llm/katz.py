@@ -37,6 +37,8 @@ GT_MAX = 5
 MIN_PAIRS = 2
 HELD_OUT = (7, 2)
 BUCKET_CHARS = 8 << 20
+CODED_BYTES = 8 << 20
+"""Bytes of text that are coded as one row: the more, the fewer times a word or pair is sent."""
 PAIR_BITS = np.uint64(2**64 - 2**9)
 """Pairs are told apart by 55 bits, of which the bucket takes the first: 48 or more are left at 128 buckets, and buckets keep their size."""
 END = np.uint64(0x656E640A656E640A)
@@ -57,26 +59,32 @@ def _names(shape: str) -> pa.Schema:
 def coded(docs: DataFrame) -> DataFrame:
     schema = _names(STATE)
 
+    def row(number: int, parts: list[tuple]) -> pa.RecordBatch:
+        ids, counts, hashes = ([x for p in parts for x in p[0]], *(np.concatenate([p[k] for p in parts]) for k in (1, 2)))
+        n = len(ids)
+        key = np.full(len(hashes) + n, END, np.uint64)
+        inside = np.ones(len(key), bool)
+        inside[np.cumsum(counts + 1) - 1] = False
+        key[inside] = hashes
+        held = np.array([held_out(i) for i in ids], bool)
+        words, tokens, every = np.unique(key, return_inverse=True, return_counts=True)
+        train = np.bincount(tokens[~np.repeat(held, counts + 1)], minlength=len(words))
+        cols = [number, pack(np.array([i or 0 for i in ids], "<i8")), pack(np.array([i is None for i in ids])), pack(held), pack((counts + 1).astype("<u4"))]
+        cols += [deltas(words), pack(train.astype("<u4")), pack(every.astype("<u4")), pack(_by_frequency(every)[1][tokens].astype("<u4"))]
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(cols, schema)], schema=schema)
+
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
+        number, parts, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for part in slices(batch):
                 w = Words(part.column("text"), lower=True)
-                n = part.num_rows
-                key = np.full(len(w.start) + n, END, np.uint64)
-                ends = w.first[1:] + np.arange(n)
-                inside = np.ones(len(key), bool)
-                inside[ends] = False
-                key[inside] = w.hashes()
-                ids = part.column("doc_id").to_pylist()
-                held = np.array([held_out(i) for i in ids], bool)
-                words, tokens, every = np.unique(key, return_inverse=True, return_counts=True)
-                train = ~np.repeat(held, w.count + 1)
-                counts = np.bincount(tokens[train], minlength=len(words))
-                none = np.array([i is None for i in ids])
-                row = [number, pack(np.array([i or 0 for i in ids], "<i8")), pack(none), pack(held), pack((w.count + 1).astype("<u4")), deltas(words), pack(counts.astype("<u4")), pack(every.astype("<u4")), pack(_by_frequency(every)[1][tokens].astype("<u4"))]
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
-                number += 1
+                parts.append((part.column("doc_id").to_pylist(), w.count, w.hashes()))
+                size += len(w.buf)
+                if size >= CODED_BYTES:
+                    yield row(number, parts)
+                    number, parts, size = number + 1, [], 0
+        if parts:
+            yield row(number, parts)
         release()
 
     return docs.select("doc_id", "text").mapInArrow(run, STATE)
