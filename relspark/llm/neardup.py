@@ -2,11 +2,13 @@
 
 Documents are copies of each other where the Jaccard similarity of their sets of five-word shingles
 is SIMILAR or more. Fingerprints at 2 bits (simhash.py) meet only copies that are all but equal: near
-copies at 0.8 to 0.9 were measured 4 to 14 bits apart. So pairs to verify come from two sources: the
-grid join of whole fingerprints at 2 bits, and equal fingerprints of SAMPLES samples, each of the
+copies at 0.8 to 0.9 were measured 4 to 14 bits apart. So candidate groups come from two sources: whole
+fingerprints within a bit of the same 64 bits, and equal fingerprints of SAMPLES samples, each of the
 SAMPLE shingles that come first in an order of its own (a pair at 0.8 is missed by all with a chance
-of 3 in 100,000). In both, a star from the least document stands for a group of equal fingerprints.
-Every pair is verified on the whole shingle sets; components of what holds are the groups.
+of 3 in 100,000). Similar to one member says nothing of another, so no star stands for a group: every
+pair in a group is verified on the whole shingle sets, unless its ends are joined already or their
+sizes alone rule it out (_joined). A group of unlike members thus costs all its pairs.
+Components of what holds are the groups of copies.
 
 Equal word sequences are one text from the start. Nulls count as empty texts; texts without words are
 copies of each other. Rows without a doc_id stay; rows of one doc_id count as one document, of which
@@ -15,6 +17,8 @@ the least text stays.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from relspark.llm.common import Words, mix, per_slice, rolling, written
 from relspark.llm.graph import components
-from relspark.llm.simhash import fingerprints_of, links
+from relspark.llm.simhash import fingerprints_of
 
 SHINGLE, SIMILAR = 5, 0.8
 SAMPLES, SAMPLE = 20, 4
@@ -85,10 +89,53 @@ def _similar(batches):
         yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
-def _stars(texts: DataFrame, key: list[str]) -> DataFrame:
-    """u, v: from the least of the texts of each key to each other one."""
-    least = texts.groupBy(*key).agg(F.min("rep").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return texts.join(least, key).where("rep <> u").select("u", F.col("rep").alias("v"))
+def _grouped(texts: DataFrame) -> DataFrame:
+    """key, rep, n, weight: the members of each candidate group of two or more, the group's size, and the sum of the sizes of a member's groups."""
+    prints = texts.select("fp").distinct()
+    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b.cast("int"))))
+    near = prints.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("at"))  # prints 2 bits apart are both 1 bit from another
+    shared = near.groupBy("at").count().where("count > 1").select("at")
+    around = near.join(shared, "at").union(prints.select("fp", F.col("fp").alias("at"))).distinct()
+    by_print = texts.select("fp", "rep").join(around, "fp").select(F.xxhash64(F.lit(-1), "at").alias("key"), "rep")
+    by_band = texts.select("rep", F.posexplode("bands").alias("sample", "band")).select(F.xxhash64("sample", "band").alias("key"), "rep")
+    members = written(by_print.union(by_band).distinct())
+    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    found = written(members.join(several, "key"))
+    return written(found.join(found.groupBy("rep").agg(F.sum("n").alias("weight")), "rep"))
+
+
+def _joined(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """rep, component: the components of all similar pairs that share a candidate group.
+
+    In a round some members of each open group lead (the one met most elsewhere, and at random about 2, 8, 32 ...).
+    A leader is verified against each member of its groups that is of another component and has not led. So of each
+    pair in a group, either one has led while they were apart, and the pair was verified, or they are in one component
+    already; a group is open while members that have not led are of several components.
+    """
+    of = lambda end, name: sets.select(F.col("rep").alias(end), F.col("shingles").alias(name))
+    state = written(sets.select("rep", F.col("rep").alias("component"), (F.length("shingles") / 8).alias("size")))
+    led = None
+    for k in itertools.count():
+        waiting = members.join(state, "rep")
+        if led is not None:
+            waiting = waiting.join(led, "rep", "left_anti")
+        waiting = written(waiting)
+        first = F.min(F.struct(-F.col("weight"), F.xxhash64(F.lit(k), "rep"), F.col("rep").alias("leader")))["leader"]
+        groups = waiting.groupBy("key").agg(first.alias("leader"), F.count("*").alias("left"), F.min("component").alias("low"), F.max("component").alias("high"))
+        live = written(waiting.join(groups.where("low <> high").select("key", "leader", "left"), "key"))
+        if live.isEmpty():
+            return state.select("rep", "component")
+        drawn = F.pmod(F.xxhash64(F.lit(k), F.lit("draw"), "rep"), F.lit(1 << 30)) < F.lit(2.0 * 4**k * (1 << 30)) / F.col("left")
+        leaders = written(live.where((F.col("rep") == F.col("leader")) | drawn).select("rep").distinct())
+        ahead = live.join(leaders, "rep").select("key", F.col("rep").alias("u"), F.col("component").alias("cu"), F.col("size").alias("su"))
+        apart = ahead.join(live.select("key", F.col("rep").alias("v"), F.col("component").alias("cv"), F.col("size").alias("sv")), "key")
+        apart = apart.where((F.col("cu") != F.col("cv")) & (F.least("su", "sv") >= SIMILAR * F.greatest("su", "sv")))
+        pairs = written(apart.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        verified = pairs.join(of("v", "b"), "v").join(of("u", "a"), "u").select("u", "v", "a", "b").mapInArrow(_similar, "u long, v long")
+        to = lambda end: state.select(F.col("rep").alias(end), F.col("component").alias(f"to_{end}"))
+        merged = components(verified.join(to("u"), "u").join(to("v"), "v").select(F.col("to_u").alias("u"), F.col("to_v").alias("v")))
+        state = written(state.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("rep", F.coalesce("to", "component").alias("component"), "size"))
+        led = leaders if led is None else written(led.union(leaders))
 
 
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -96,17 +143,10 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     slim = docs.where("doc_id is not null").select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
     marks = written(slim.mapInArrow(per_slice(_mark), MARKS))
     texts = written(marks.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    prints = texts.groupBy("fp").agg(F.min("rep").alias("rep"))
-    named = lambda end: prints.select(F.col("fp").alias(end), F.col("rep").alias(f"to_{end}"))
-    close = links(prints.select("fp")).join(named("u"), "u").join(named("v"), "v").select(F.col("to_u").alias("u"), F.col("to_v").alias("v"))
-    sampled = texts.select("rep", F.posexplode("bands").alias("sample", "band"))
-    ends = close.union(_stars(texts.select("fp", "rep"), ["fp"])).union(_stars(sampled, ["sample", "band"]))
-    pairs = written(ends.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    members = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = written(slim.join(members, "doc_id", "left_semi").mapInArrow(per_slice(_sets), "doc_id long, shingles binary").groupBy("doc_id").agg(F.max("shingles").alias("shingles")))
-    of = lambda end, name: sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(name))
-    verified = pairs.join(of("v", "b"), "v").join(of("u", "a"), "u").select("u", "v", "a", "b").mapInArrow(_similar, "u long, v long")
-    groups = components(verified)
+    members = _grouped(texts)
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = written(slim.join(wanted, "doc_id", "left_semi").mapInArrow(per_slice(_sets), "doc_id long, shingles binary").groupBy("doc_id").agg(F.max("shingles").alias("shingles")).withColumnRenamed("doc_id", "rep"))
+    groups = _joined(members, sets).withColumnRenamed("rep", "node")
     first = groups.groupBy("component").agg(F.min("node").alias("first"))
     gone = groups.join(first, "component").where("node <> first").select(F.col("node").alias("rep"))
     stay = written(texts.select("rep").join(gone, "rep", "left_anti").select(F.col("rep").alias("doc_id")))

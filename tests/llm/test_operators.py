@@ -441,6 +441,29 @@ def test_near_dedup(docs, odd):
     assert sorted((r.doc_id or 0) for r in left) == [0, 1, 4, 5, 7, 8, 9] and neardup.one_of_each(odd.limit(0)).collect() == []
 
 
+def copies_of(base, n, rng):
+    """The base's words with 4 changed ones a copy, far apart: 0.8 or more to the base, mostly less between copies."""
+    out = []
+    for c in range(n):
+        w = list(base)
+        for k in range(4):
+            w[50 * k + rng.randint(5, 40)] = f"c{c}x{k}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_dedup_base_is_not_least(spark):
+    rng, rows, at = random.Random(7), [], 0
+    for g, (n, place) in enumerate([(20, 19), (50, 25), (200, 100), (1000, 999)]):
+        base = [f"g{g}w{i}" for i in range(204)]
+        texts = copies_of(base, n - 1, rng)
+        texts.insert(place, " ".join(base))
+        rows += [(at + k, t) for k, t in enumerate(texts)]
+        at += 10_000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.one_of_each(df).collect()) == [0, 10_000, 20_000, 30_000]
+
+
 def test_pipeline(spark, odd, tmp_path):
     import corpus_pipeline as pipeline
 
