@@ -65,12 +65,14 @@ def summed(data: bytes | None, kind: str = "<u4") -> np.ndarray:
 
 
 def _sorted_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Slices with their rows by id and th, and a number that is the same whenever the task is run."""
+    """Slices with their rows by id and th, each id and th once, and a number that is the same whenever the task is run."""
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         for part in slices(batch, "_text"):
             order = pc.sort_indices(part, [("_id", "ascending"), ("_th", "ascending")])
-            yield number, part.take(order)
+            part = part.take(order)
+            ids, ths = (part.column(c).to_numpy() for c in ("_id", "_th"))
+            yield number, part.filter(pa.array(np.concatenate([[True], (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1])])))
             number += 1
 
 

@@ -309,6 +309,16 @@ def test_substring(spark, docs, odd):
     assert out.count() == odd.count() and substring.digest(odd.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 2, 4])
+def test_substring_repeated_rows(spark, parts):
+    own, shared = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(25))
+    nameless = " ".join(f"c{i}" for i in range(40))
+    rows = [(3, own), (3, own), (None, nameless), (None, nameless), (5, shared), (7, "x " + shared), (7, "x " + shared)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.text, r.n_removed) for r in substring.substring_dedup(df).collect())
+    assert got == {(3, own, 0): 2, (None, nameless, 0): 2, (5, shared, 0): 1, (7, "x ", 25): 2}
+
+
 # 7
 
 
