@@ -111,7 +111,7 @@ def find_by_id_absent(spark, d):
 
 @query("select conv_id, turn, role, row_number() over (order by turn) as rn from conversations where conv_id = 3")
 def find_by_prefix(spark, d):
-    return numbered(turns(spark, d).find(3, columns=["conv_id", "turn", "role"]), 10_000, F.col("turn"))
+    return ranked(turns(spark, d).find(3, columns=["conv_id", "turn", "role"]), [F.col("turn")])
 
 
 @query("select o_custkey, o_orderdate, o_orderkey from orders where o_custkey = 10")
@@ -177,7 +177,7 @@ def list_by_id_range(spark, d):
 def list_by_secondary_descending(spark, d):
     bounds = Range(at("1995-06-01"), at("2000-06-01"), end_included=False, descending=True)
     rows = orders(spark, d).list(10, bounds=bounds, index="Customer").select("o_custkey", "o_orderdate", "o_orderkey")
-    return numbered(rows, 10_000, F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
+    return ranked(rows, [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
 
 
 @query("select c_custkey, c_nationkey from customer where c_nationkey > 3 and c_nationkey <= 5")
