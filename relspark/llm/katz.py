@@ -8,10 +8,11 @@ word in a third of all texts is one entry a slice, and a bucket's size depends o
 buckets, which follows the input. Three tables are asked, each built on the one before:
 
 1. word: its count;
-2. pair of words: its count, if MIN_PAIRS or more (pairs of words seen once are not sent);
+2. pair of words: its count, if min_pairs or more (pairs of words seen less often are not sent). The query
+   takes 1, so that all pairs count; MIN_PAIRS is for callers who leave pairs seen once to backoff;
 3. history: its discounted mass, and the lower-order mass of the words seen after it.
 
-P(w | h) = d r / c(h) where the pair's count r is MIN_PAIRS or more, else alpha(h) P(w). P(w) = d r / N,
+P(w | h) = d r / c(h) where the pair's count r is min_pairs or more, else alpha(h) P(w). P(w) = d r / N,
 and what discounting leaves is the probability of the one unknown word. Good-Turing discounts d
 hold for counts up to GT_MAX where the counts of counts allow. alpha(h) is what makes P(. | h) sum to one;
 where nothing would be left for unseen words, one is added to the denominator.

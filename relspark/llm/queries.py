@@ -29,7 +29,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(table(spark, sf_dir, "documents"))
+    return katz.score(table(spark, sf_dir, "documents"), min_pairs=1)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

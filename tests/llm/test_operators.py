@@ -274,6 +274,13 @@ def test_katz(spark, docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_katz_query_counts_pairs_seen_once(spark, docs):
+    got, want = queries.op5_katz(spark, SF).collect(), katz_by_hand([(r.doc_id, r.text) for r in docs.collect()], 1)
+    assert len(got) == len(want)
+    for r in got:
+        assert tuple(r)[:5] == want[r.doc_id][:5] and tuple(r)[5:] == pytest.approx(want[r.doc_id][5:], rel=1e-9)
+
+
 def test_katz_odd(odd):
     rows = katz.score(odd).collect()
     assert len(rows) == odd.count() and all(math.isfinite(r.score) and r.n_tokens > 0 for r in rows)
