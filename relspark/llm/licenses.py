@@ -1,7 +1,8 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 Rules are every family of licenses times every way of stating one. A single Aho-Corasick pass over
-the lower-cased text finds which families and which ways can occur at all; only their rules run.
+the lower-cased text finds which families (by name or by SPDX identifier) and which ways can occur at
+all; only their rules run, and no other could match. Words of a name may stand on several lines.
 Detections are then taken in the order of priority, length and place, and one that lies within a
 detection already taken is dropped, so a bare name inside a statement of
 that license is not counted again. Phrases of a given list are looked for
@@ -23,14 +24,15 @@ from pyspark.sql import types as T
 
 from relspark.llm.common import Words, per_slice
 
-# label, keyword that every mention holds, name as a pattern, SPDX identifier as a pattern
+# label, keywords of which (all of one side of a |) every match of the name holds, name as a pattern, SPDX identifier as a pattern.
+# A space, or [ -], is a run of separators; an optional space is white space or marks that begin a line of a comment.
 FAMILIES = [
-    ("mit", "mit", r"(?:mit|expat|mit/x11) licen[cs]e", r"mit"),
+    ("mit", "mit|expat", r"(?:mit|expat|mit/x11) licen[cs]e", r"mit"),
     ("apache-2", "apache", r"apache(?: software)? licen[cs]e,? v(?:ersion|\.)? ?2(?:\.0)?", r"apache-2\.0"),
     ("apache-1.1", "apache", r"apache(?: software)? licen[cs]e,? v(?:ersion|\.)? ?1\.1", r"apache-1\.1"),
     ("bsd-2", "bsd", r"(?:2-clause|two-clause|simplified|freebsd) bsd(?: licen[cs]e)?|bsd 2-clause(?: licen[cs]e)?", r"bsd-2-clause"),
     ("bsd-3", "bsd", r"(?:3-clause|three-clause|new|revised|modified) bsd(?: licen[cs]e)?|bsd 3-clause(?: licen[cs]e)?", r"bsd-3-clause"),
-    ("bsd", "bsd", r"bsd(?:-style)?(?: licen[cs]e)?", r"bsd"),
+    ("bsd", "bsd", r"bsd(?:-style)?(?: licen[cs]e)?(?![a-z0-9])", r"bsd"),
     ("gpl-2", "general public", r"gnu general public licen[cs]e,?(?: as published)? \(?v(?:ersion)? ?2", r"gpl-2\.0(?:-only|-or-later|\+)?"),
     ("gpl-3", "general public", r"gnu general public licen[cs]e,?(?: as published)? \(?v(?:ersion)? ?3", r"gpl-3\.0(?:-only|-or-later|\+)?"),
     ("gpl", "general public", r"(?:gnu )?general public licen[cs]e", r"gpl"),
@@ -52,12 +54,12 @@ FAMILIES = [
     ("postgresql", "postgresql", r"postgresql licen[cs]e", r"postgresql"),
     ("python-2", "python", r"python software foundation licen[cs]e", r"python-2\.0|psf-2\.0"),
     ("cc0", "cc0", r"(?:creative commons )?cc0(?: 1\.0)?(?: universal)?", r"cc0-1\.0"),
-    ("cc-by", "cc by", r"cc[ -]by(?![ -](?:sa|nc|nd))(?: \d\.\d)?", r"cc-by-\d\.\d"),
-    ("cc-by-sa", "cc by", r"cc[ -]by-sa(?: \d\.\d)?", r"cc-by-sa-\d\.\d"),
-    ("cc-by-nd", "cc by", r"cc[ -]by-nd(?: \d\.\d)?", r"cc-by-nd-\d\.\d"),
-    ("cc-by-nc", "cc by", r"cc[ -]by-nc(?!-)(?: \d\.\d)?", r"cc-by-nc-\d\.\d"),
-    ("cc-by-nc-sa", "cc by", r"cc[ -]by-nc-sa(?: \d\.\d)?", r"cc-by-nc-sa-\d\.\d"),
-    ("cc-by-nc-nd", "cc by", r"cc[ -]by-nc-nd(?: \d\.\d)?", r"cc-by-nc-nd-\d\.\d"),
+    ("cc-by", "cc by", r"\bcc[ -]by\b(?![ -](?:sa|nc|nd)\b)(?: \d\.\d)?", r"cc-by-\d\.\d"),
+    ("cc-by-sa", "cc by", r"\bcc[ -]by[ -]sa\b(?: \d\.\d)?", r"cc-by-sa-\d\.\d"),
+    ("cc-by-nd", "cc by", r"\bcc[ -]by[ -]nd\b(?: \d\.\d)?", r"cc-by-nd-\d\.\d"),
+    ("cc-by-nc", "cc by", r"\bcc[ -]by[ -]nc\b(?![ -](?:sa|nd)\b)(?: \d\.\d)?", r"cc-by-nc-\d\.\d"),
+    ("cc-by-nc-sa", "cc by", r"\bcc[ -]by[ -]nc[ -]sa\b(?: \d\.\d)?", r"cc-by-nc-sa-\d\.\d"),
+    ("cc-by-nc-nd", "cc by", r"\bcc[ -]by[ -]nc[ -]nd\b(?: \d\.\d)?", r"cc-by-nc-nd-\d\.\d"),
     ("cc-by", "creative commons", r"creative commons attribution(?![ -](?:share|non|no))(?: \d\.\d)?", r"(?!)"),
     ("cc-by-sa", "creative commons", r"creative commons attribution[ -]share ?-?alike(?: \d\.\d)?", r"(?!)"),
     ("cc-by-nc", "creative commons", r"creative commons attribution[ -]non-?commercial(?! ?-?(?:share|no))(?: \d\.\d)?", r"(?!)"),
@@ -65,46 +67,56 @@ FAMILIES = [
     ("gfdl", "free documentation", r"gnu free documentation licen[cs]e(?:,? v(?:ersion)? ?1\.\d)?", r"gfdl-1\.\d"),
     ("openrail", "rail", r"(?:creativeml )?open ?rail(?:\+\+)?-?m? licen[cs]e", r"openrail"),
 ]
-# way of stating a license, keyword, confidence, priority
+# way of stating a license, keyword that every match holds (beside the name's or identifier's), confidence, priority
 WAYS = [
     (r"spdx-license-identifier:\s*{id}\b", "spdx", 1.0, 90),
-    (r"\blicen[cs]ed under (?:the )?(?:terms of (?:the )?)?(?:{name}|{id}\b)", "ed under", 1.0, 80),
-    (r"\breleased under (?:the )?(?:terms of (?:the )?)?(?:{name}|{id}\b)", "ed under", 1.0, 80),
-    (r"\b(?:distributed|published|provided|offered|shared|used|copied) under (?:the )?(?:terms of (?:the )?)?(?:{name})", "ed under", 0.9, 70),
-    (r"\bavailable under (?:the )?(?:terms of (?:the )?)?(?:{name})", "available under", 0.9, 70),
-    (r"\b(?:under|with) (?:a|an|the) (?:{name})", "licen", 0.7, 50),
+    (r"\blicen[cs]ed under (?:the )?(?:terms of (?:the )?)?(?:{name}|{id}\b)", "under", 1.0, 80),
+    (r"\breleased under (?:the )?(?:terms of (?:the )?)?(?:{name}|{id}\b)", "under", 1.0, 80),
+    (r"\b(?:distributed|published|provided|offered|shared|used|copied) under (?:the )?(?:terms of (?:the )?)?(?:{name})", "under", 0.9, 70),
+    (r"\bavailable under (?:the )?(?:terms of (?:the )?)?(?:{name})", "under", 0.9, 70),
+    (r"\b(?:under|with) (?:a|an|the) (?:{name})", "", 0.7, 50),
     (r"\blicen[cs]e:\s*(?:{name}|{id})\b", "licen", 0.9, 60),
     (r"\bsee (?:the )?(?:{name}) for (?:more )?details", "for", 0.6, 40),
-    (r"(?:{name})", "licen", 0.4, 10),
+    (r"(?:{name})", "", 0.4, 10),
 ]
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
 #: Bytes that separate words here: ASCII other than digits and letters, after lower-casing.
 NOT_WORD = np.array([b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F for b in range(256)])
 
+RUN, GAP = r"[^0-9a-z\x80-\U0010ffff]+", r"[\s*#/;!>|-]*"
+
 DETECTION = "array<struct<label:string,start:int,end:int,score:double>>"
 
 
+def spaced(pattern: str) -> str:
+    """The pattern, with its spaces as runs of separators."""
+    return pattern.replace("[ -]", RUN).replace(" ?", GAP).replace(" ", RUN)
+
+
 class Rules:
     """The compiled rules, run behind the keyword prefilter."""
 
     def __init__(self):
         self.rules = []
         for label, word, name, spdx in FAMILIES:
+            starts = re.findall(r"(?:^|\|)([a-z]+\d?)", spdx)  # of the identifiers
             for way, needs, score, priority in WAYS:
-                self.rules.append(((word, needs), label, re.compile(way.format(name=name, id=f"(?:{spdx})")), score, priority))
+                sides = word.split("|") * ("{name}" in way) + starts * ("{id}" in way)
+                keys = [frozenset(f"{needs} {side}".split()) for side in sides]  # a match holds all of one
+                self.rules.append((keys, label, re.compile(spaced(way.format(name=name, id=f"(?:{spdx})"))), score, priority))
         self.words = ahocorasick.Automaton()
-        for word in {k for keys, *_ in self.rules for k in keys} | {"cc-by"}:
-            self.words.add_word(word, "cc by" if word == "cc-by" else word)
+        for word in {k for keys, *_ in self.rules for side in keys for k in side}:
+            self.words.add_word(word, word)
         self.words.make_automaton()
 
-    def find(self, text: str) -> list[tuple[str, int, int, float]]:
-        """Detections (label, start, end, score) in a lower-cased text, by place."""
+    def find(self, text: str, prefilter: bool = True) -> list[tuple[str, int, int, float]]:
+        """Detections (label, start, end, score) in a lower-cased text, by place; the same with and without the prefilter."""
         seen = {word for _, word in self.words.iter(text)}
         found = []
-        if seen:
+        if seen or not prefilter:
             for keys, label, pattern, score, priority in self.rules:
-                if keys[0] in seen and keys[1] in seen:
+                if not prefilter or any(side <= seen for side in keys):
                     found += [(-priority, m.start() - m.end(), m.start(), m.end(), label, score) for m in pattern.finditer(text)]
         taken: list[tuple[str, int, int, float]] = []
         for _, _, start, end, label, score in sorted(found):

@@ -442,6 +442,28 @@ def test_licenses(spark, docs, odd):
     assert [x[0] for x in found] == ["gpl-3"]
 
 
+def test_license_prefilter_is_lossless(docs):
+    rules = licenses.Rules()
+    labels = lambda t: {x[0] for x in rules.find(t.lower())}
+    stated = {"GPL-2.0-or-later": "gpl-2", "GPL-3.0-only": "gpl-3", "LGPL-3.0": "lgpl-3", "AGPL-3.0": "agpl-3", "MPL-2.0": "mpl-2", "EPL-2.0": "epl-2", "CDDL-1.0": "cddl-1", "BSL-1.0": "boost-1", "ODbL-1.0": "odbl", "GFDL-1.3": "gfdl", "PSF-2.0": "python-2", "MIT": "mit"}
+    for spdx, label in stated.items():
+        for way in ("SPDX-License-Identifier: {}", "License: {}", "licensed under {}", "Released\n# under the {}"):
+            assert labels(way.format(spdx)) == {label}, (way, spdx)
+    assert labels("CC BY-SA 4.0") == labels("cc-by-sa-4.0") == {"cc-by-sa"} and labels("CC0 1.0") == {"cc0"} and labels("cc by the way, cc by sales") == {"cc-by"}
+    assert labels("see the GNU General\n * Public License,\n * version 3 for details") == {"gpl-3"} and labels("the Expat License") == {"mit"}
+    rng, parts = random.Random(11), []
+    for label, _, name, spdx in licenses.FAMILIES:
+        plain = re.sub(r"\(\?[!:][^()]*\)\??|\\b|\\\(\?|\?", "", name).replace("[cs]", "s").replace("[ -]", " ")
+        parts += [plain, spdx.split("(")[0].replace("\\", "").split("|")[0].replace("[01]", "0").replace("d.d", "4.0").replace("1.d", "1.3")]
+    ways = ["spdx-license-identifier: ", "licensed under the ", "released\nunder ", "used under terms of ", "available under the ", "with a ", "license: ", "see the ", ""]
+    texts = [rng.choice(ways) + re.sub(" ", lambda _: rng.choice([" ", "\n", "  ", "\n * "]), p) + rng.choice([" version 2", " 3", "", ", v2.0", " 4.0", " for details"]) for p in parts for _ in range(40)]
+    found = 0
+    for t in [*texts, *(low(r.text) for r in docs.collect())]:
+        assert rules.find(t) == rules.find(t, prefilter=False)
+        found += bool(rules.find(t))
+    assert found > 1000
+
+
 # pipeline
 
 
