@@ -2,23 +2,32 @@
 
 Encoding. The merges are compiled into a nondeterministic transducer whose paths are token
 sequences in which every two neighbours stay apart when merged alone; exactly one such path spells
-a byte string, and it is the one that the merges give. Subsets of configurations (open token,
-tokens pending since the last output) become states of a deterministic transducer the first time
-they are reached. A step emits the tokens that all live configurations share, so output lags by no
-more than the longest token. Time is linear in the text, whatever its runs look like.
+a byte string, and it is the one that the merges give. A configuration is the last token of a path
+and the place in the trie of tokens that its unfinished token has reached; sets of configurations
+become states of a deterministic transducer the first time they are reached. A step says which
+token, if any, ends at this byte on the one path to it. Tokens are written as far as all live
+configurations agree, so output lags by no more than the tokens that are still open, at most
+BLOCK bytes and the longest token. Time is linear in the text, whatever its runs look like.
 
 Decoding. Tokens are fed one by one through an incremental UTF-8 machine: its state is the
 unfinished byte sequence, and (state, token) transitions are kept once computed. Malformed bytes
 become U+FFFD, as in Python's "replace" handler.
 
-Nulls count as empty texts; an empty text has no tokens and decodes to the empty string.
+A worker keeps its codec from task to task: transitions and pieces of text met before, up to the
+bounds below. What is kept never changes a result.
+
+Nulls count as empty texts; an empty text has no tokens and decodes to the empty string. Very long
+texts are encoded whole, one piece at a time; repeated rows are encoded as often as they stand
+there; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -30,8 +39,9 @@ from pyspark.sql import types as T
 
 from relspark.llm.common import release
 
-MAX_STATES, MAX_PIECES = 150_000, 250_000
-"""Transitions (with their states, and pairs of tokens) and pieces kept at once; beyond that they are built anew."""
+MAX_STEPS, MAX_PIECES = 800_000, 200_000
+"""Transitions (and pairs of tokens) kept before they are built anew; pieces of each of two generations, of which the older goes when the younger is full."""
+BLOCK = 4096
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,6 +51,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 NEVER = 1 << 60
+START = (1 << 24) - 1
+"""What stands for the last token before the first one; ranks are below it."""
 
 
 class Transducer:
@@ -61,15 +73,18 @@ class Transducer:
                     self.inner.append(False)
                 node = to
             self.rank_at[node] = rank
+        self.depth = [0] * len(self.rank_at)
+        for key, to in self.child.items():  # parents come before their children
+            self.depth[to] = self.depth[key >> 8] + 1
         self.apart: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self.reset()
 
     def reset(self) -> None:
-        start = ((NEVER, (), 0),)
+        start = (START << 32,)
         self.number = {start: 0}
         self.states = [start]
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.steps: dict[int, int] = {}
 
     def edge(self, rank: int, side: int) -> tuple[int, ...]:
         """The tokens that stand at the right (1) or left (0) edge of a token while its merges run, in order."""
@@ -97,7 +112,7 @@ class Transducer:
         key = left << 20 | right
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) >= MAX_STATES:
+            if len(self.apart) >= MAX_STEPS:
                 self.apart.clear()
             a, b, i, j, known = self.edge(left, 1), self.edge(right, 0), 0, 0, True
             while known:
@@ -115,66 +130,94 @@ class Transducer:
             self.apart[key] = known
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and the tokens that are certain now."""
-        live, end, child, inner, rank_at = [], None, self.child, self.inner, self.rank_at
-        for last, pending, node in self.states[state]:
-            to = child.get(node << 8 | byte)
+    def step(self, state: int, byte: int) -> int:
+        """The next state, and (in the low 24 bits) the token that ends here, or START."""
+        live, end, child, inner, rank_at = [], START, self.child, self.inner, self.rank_at
+        for pair in self.states[state]:
+            to = child.get((pair & 0xFFFFFFFF) << 8 | byte)
             if to is None:
                 continue
+            last = pair >> 32
             if inner[to]:
-                live.append((last, pending, to))
-            if end is None and (rank := rank_at[to]) != NEVER:  # one configuration at most ends a token here
-                before = pending[-1] if pending else last
-                if before == NEVER or self.fits(before, rank):
-                    end = (last, (*pending, rank), 0)
-        if end:
-            live.append(end)
-        sure = live[0][1] if live else ()
-        if sure:
-            for _, pending, _ in live:
-                n = 0
-                for a, b in zip(sure, pending):
-                    if a != b:
-                        break
-                    n += 1
-                sure = sure[:n]
-            if sure:
-                live = [(sure[-1], pending[len(sure) :], node) for _, pending, node in live]
+                live.append(last << 32 | to)
+            if end == START and (rank := rank_at[to]) != NEVER and (last == START or self.fits(last, rank)):
+                end = rank  # one configuration at most ends a token here
+        if end != START:
+            live.append(end << 32)
         key = tuple(live)
         to = self.number.setdefault(key, len(self.states))
         if to == len(self.states):
             self.states.append(key)
-        out = self.steps[state << 8 | byte] = (to, sure)
+        out = self.steps[state << 8 | byte] = to << 24 | end
         return out
 
     def encode(self, data: bytes) -> list[int]:
         if data in self.ranks:
             return [self.ranks[data]]
-        if len(self.steps) > MAX_STATES:
+        if len(self.steps) > MAX_STEPS:
             self.reset()
-        state, out, steps = 0, [], self.steps
+        if len(data) > BLOCK:
+            return self.encode_long(data)
+        ends, steps, at = [], self.steps, 0
         for byte in data:
-            state, sure = steps.get(state << 8 | byte) or self.step(state, byte)
-            if sure:
-                out += sure
-        for _, pending, node in self.states[state]:
-            if not node:
-                return out + list(pending)
+            key = at | byte
+            at = steps.get(key)
+            if at is None:
+                at = self.step(key >> 8, byte)
+            ends.append(at & 0xFFFFFF)
+            at = at >> 24 << 8
+        return self.path(ends, len(ends))
+
+    def path(self, ends: list[int], to: int) -> list[int]:
+        """The tokens of the one path to a place, from the tokens that end at each place."""
+        out, token = [], self.token
+        while to > 0:
+            out.append(ends[to - 1])
+            to -= len(token[out[-1]])
+        out.reverse()
         return out
 
+    def encode_long(self, data: bytes) -> list[int]:
+        """As encode(), with what is certain written after each block."""
+        out, ends, state = [], [], 0
+        for at in range(0, len(data), BLOCK):
+            for byte in data[at : at + BLOCK]:
+                step = self.steps.get(state << 8 | byte) or self.step(state, byte)
+                ends.append(step & 0xFFFFFF)
+                state = step >> 24
+            starts = {len(ends) - self.depth[pair & 0xFFFFFFFF] for pair in self.states[state]}
+            while len(starts) > 1:  # back to where all live configurations have come from
+                last = max(starts)
+                starts.remove(last)
+                starts.add(last - len(self.token[ends[last - 1]]))
+            sure = starts.pop()
+            out += self.path(ends, sure)
+            del ends[:sure]
+            if len(self.steps) > MAX_STEPS:
+                live = self.states[state]
+                self.reset()
+                state = self.number.setdefault(live, len(self.states))
+                if state == len(self.states):
+                    self.states.append(live)
+        return out + self.path(ends, len(ends))
+
 
 class Pieces(dict):
     """Pieces of text to their ids as little-endian 32-bit integers, filled as they are asked for."""
 
     def __init__(self, transducer: Transducer):
         self.transducer = transducer
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_PIECES:
-            self.clear()
-        ids = np.array(self.transducer.encode(piece.encode("utf-8", "replace")), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            found = self.transducer.encode(piece.encode("utf-8", "replace"))
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= 64:
+            if len(self) >= MAX_PIECES:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
@@ -234,7 +277,7 @@ class Decoder:
             for byte in self.token[token]:
                 at, more = self.advance(at, byte)
                 text += more
-            if len(self.known) >= MAX_STATES:
+            if len(self.known) >= MAX_STEPS:
                 self.known.clear()
             found = self.known[key] = (at, text)
         self.state = found[0]
@@ -285,7 +328,7 @@ class Codec:
 
 
 _codecs: dict = {}
-"""The codec of the task that runs; it goes when the task ends, so that idle workers are small."""
+"""The codec of this worker process, kept from task to task."""
 
 
 def _codec(shared, pattern: str) -> Codec:
@@ -314,6 +357,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
 
     def run(batches):
         codec = _codec(shared, pattern)
+        gc.disable()  # the codec's many small objects hold no cycles
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -327,8 +371,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
                     ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
                 yield pa.RecordBatch.from_arrays(cols, names=[*others, *added])
-        _codecs.clear()
-        del codec
+        gc.enable()
         release()
 
     return docs.mapInArrow(run, schema)
