@@ -1,14 +1,17 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-Rules are every family of licenses times every way of stating one. A single Aho-Corasick pass over
-the lower-cased text finds which families (by name or by SPDX identifier) and which ways can occur at
-all; only their rules run, and no other could match. Words of a name may stand on several lines.
-Detections are then taken in the order of priority, length and place, and one that lies within a
-detection already taken is dropped, so a bare name inside a statement of
-that license is not counted again. Phrases of a given list are looked for
-as consecutive words, whatever stands between the words.
-
-Nulls count as empty texts, which have no words and no detections. A text is scanned whole.
+The rules (signatures.py) are hand-written signatures of licenses' own sentences, grants, names and
+mentions, and tags with SPDX identifiers. Each names, by itself, the words that every match of it must
+hold (keywords()). One Aho-Corasick pass over the lower-cased text finds which of those words occur; only
+rules with all of theirs run, and no other could match. Detections are then taken in the order of
+priority, length, place and rule, and one that lies within a detection already taken is dropped, so a
+bare name inside a statement of that license is not counted again; a sweep with a prefix maximum finds
+that in n log n. Phrases of a given list are looked for as consecutive words, whatever stands between
+the words.
+
+Nulls count as empty texts, which have no words and no detections. A text is scanned whole, however
+long. Repeated rows are scanned as often as they stand there; an empty table gives an empty one; columns
+of the input that bear the names of those added are replaced.
 """
 
 from __future__ import annotations
@@ -23,106 +26,120 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relspark.llm.common import Words, per_slice
+from relspark.llm.signatures import GRANT, IDENTIFIERS, SIGNATURES, TAGS
 
-# label, keywords of which (all of one side of a |) every match of the name holds, name as a pattern, SPDX identifier as a pattern.
-# A space, or [ -], is a run of separators; an optional space is white space or marks that begin a line of a comment.
-FAMILIES = [
-    ("mit", "mit|expat", r"(?:mit|expat|mit/x11) licen[cs]e", r"mit"),
-    ("apache-2", "apache", r"apache(?: software)? licen[cs]e,? v(?:ersion|\.)? ?2(?:\.0)?", r"apache-2\.0"),
-    ("apache-1.1", "apache", r"apache(?: software)? licen[cs]e,? v(?:ersion|\.)? ?1\.1", r"apache-1\.1"),
-    ("bsd-2", "bsd", r"(?:2-clause|two-clause|simplified|freebsd) bsd(?: licen[cs]e)?|bsd 2-clause(?: licen[cs]e)?", r"bsd-2-clause"),
-    ("bsd-3", "bsd", r"(?:3-clause|three-clause|new|revised|modified) bsd(?: licen[cs]e)?|bsd 3-clause(?: licen[cs]e)?", r"bsd-3-clause"),
-    ("bsd", "bsd", r"bsd(?:-style)?(?: licen[cs]e)?(?![a-z0-9])", r"bsd"),
-    ("gpl-2", "general public", r"gnu general public licen[cs]e,?(?: as published)? \(?v(?:ersion)? ?2", r"gpl-2\.0(?:-only|-or-later|\+)?"),
-    ("gpl-3", "general public", r"gnu general public licen[cs]e,?(?: as published)? \(?v(?:ersion)? ?3", r"gpl-3\.0(?:-only|-or-later|\+)?"),
-    ("gpl", "general public", r"(?:gnu )?general public licen[cs]e", r"gpl"),
-    ("lgpl-2.1", "general public", r"gnu lesser general public licen[cs]e,? v(?:ersion)? ?2\.1", r"lgpl-2\.1(?:-only|-or-later|\+)?"),
-    ("lgpl-3", "general public", r"gnu lesser general public licen[cs]e,? v(?:ersion)? ?3", r"lgpl-3\.0(?:-only|-or-later|\+)?"),
-    ("lgpl", "general public", r"gnu (?:lesser|library) general public licen[cs]e", r"lgpl"),
-    ("agpl-3", "affero", r"gnu affero general public licen[cs]e(?:,? v(?:ersion)? ?3)?", r"agpl-3\.0(?:-only|-or-later|\+)?"),
-    ("mpl-2", "mozilla", r"mozilla public licen[cs]e,? v(?:ersion|\.)? ?2(?:\.0)?", r"mpl-2\.0"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e,? v(?:ersion|\.)? ?1\.1", r"mpl-1\.1"),
-    ("epl-2", "eclipse", r"eclipse public licen[cs]e(?: -)?,? v(?:ersion|\.)? ?2(?:\.0)?", r"epl-2\.0"),
-    ("epl-1", "eclipse", r"eclipse public licen[cs]e(?: -)?,? v(?:ersion|\.)? ?1(?:\.0)?", r"epl-1\.0"),
-    ("cddl-1", "common development", r"common development and distribution licen[cs]e", r"cddl-1\.[01]"),
-    ("isc", "isc", r"isc licen[cs]e", r"isc"),
-    ("zlib", "zlib", r"zlib(?:/libpng)? licen[cs]e", r"zlib"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense"),
-    ("wtfpl", "what the", r"do what the \w+ you want to public licen[cs]e", r"wtfpl"),
-    ("boost-1", "boost", r"boost software licen[cs]e(?:,? v(?:ersion)? ?1\.0)?", r"bsl-1\.0"),
-    ("artistic-2", "artistic", r"artistic licen[cs]e,?(?: v(?:ersion)?)? ?2(?:\.0)?", r"artistic-2\.0"),
-    ("postgresql", "postgresql", r"postgresql licen[cs]e", r"postgresql"),
-    ("python-2", "python", r"python software foundation licen[cs]e", r"python-2\.0|psf-2\.0"),
-    ("cc0", "cc0", r"(?:creative commons )?cc0(?: 1\.0)?(?: universal)?", r"cc0-1\.0"),
-    ("cc-by", "cc by", r"\bcc[ -]by\b(?![ -](?:sa|nc|nd)\b)(?: \d\.\d)?", r"cc-by-\d\.\d"),
-    ("cc-by-sa", "cc by", r"\bcc[ -]by[ -]sa\b(?: \d\.\d)?", r"cc-by-sa-\d\.\d"),
-    ("cc-by-nd", "cc by", r"\bcc[ -]by[ -]nd\b(?: \d\.\d)?", r"cc-by-nd-\d\.\d"),
-    ("cc-by-nc", "cc by", r"\bcc[ -]by[ -]nc\b(?![ -](?:sa|nd)\b)(?: \d\.\d)?", r"cc-by-nc-\d\.\d"),
-    ("cc-by-nc-sa", "cc by", r"\bcc[ -]by[ -]nc[ -]sa\b(?: \d\.\d)?", r"cc-by-nc-sa-\d\.\d"),
-    ("cc-by-nc-nd", "cc by", r"\bcc[ -]by[ -]nc[ -]nd\b(?: \d\.\d)?", r"cc-by-nc-nd-\d\.\d"),
-    ("cc-by", "creative commons", r"creative commons attribution(?![ -](?:share|non|no))(?: \d\.\d)?", r"(?!)"),
-    ("cc-by-sa", "creative commons", r"creative commons attribution[ -]share ?-?alike(?: \d\.\d)?", r"(?!)"),
-    ("cc-by-nc", "creative commons", r"creative commons attribution[ -]non-?commercial(?! ?-?(?:share|no))(?: \d\.\d)?", r"(?!)"),
-    ("odbl", "open database", r"open (?:data commons )?(?:open )?database licen[cs]e", r"odbl-1\.0"),
-    ("gfdl", "free documentation", r"gnu free documentation licen[cs]e(?:,? v(?:ersion)? ?1\.\d)?", r"gfdl-1\.\d"),
-    ("openrail", "rail", r"(?:creativeml )?open ?rail(?:\+\+)?-?m? licen[cs]e", r"openrail"),
-]
-# way of stating a license, keyword that every match holds (beside the name's or identifier's), confidence, priority
-WAYS = [
-    (r"spdx-license-identifier:\s*{id}\b", "spdx", 1.0, 90),
-    (r"\blicen[cs]ed under (?:the )?(?:terms of (?:the )?)?(?:{name}|{id}\b)", "under", 1.0, 80),
-    (r"\breleased under (?:the )?(?:terms of (?:the )?)?(?:{name}|{id}\b)", "under", 1.0, 80),
-    (r"\b(?:distributed|published|provided|offered|shared|used|copied) under (?:the )?(?:terms of (?:the )?)?(?:{name})", "under", 0.9, 70),
-    (r"\bavailable under (?:the )?(?:terms of (?:the )?)?(?:{name})", "under", 0.9, 70),
-    (r"\b(?:under|with) (?:a|an|the) (?:{name})", "", 0.7, 50),
-    (r"\blicen[cs]e:\s*(?:{name}|{id})\b", "licen", 0.9, 60),
-    (r"\bsee (?:the )?(?:{name}) for (?:more )?details", "for", 0.6, 40),
-    (r"(?:{name})", "", 0.4, 10),
-]
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
 #: Bytes that separate words here: ASCII other than digits and letters, after lower-casing.
 NOT_WORD = np.array([b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F for b in range(256)])
 
-RUN, GAP = r"[^0-9a-z\x80-\U0010ffff]+", r"[\s*#/;!>|-]*"
+#: Texts are matched as UTF-8 bytes, each shown as one character.
+RUN, WORD = r"[^0-9a-z\x80-\xff]+", r"[0-9a-z\x80-\xff]"
+#: Words too common to tell rules apart; a rule is gated on others where it has any.
+COMMON = frozenset("the and any for with this that under from are not you may its version software licen license public terms general copy use free".split())
 
 DETECTION = "array<struct<label:string,start:int,end:int,score:double>>"
 
 
-def spaced(pattern: str) -> str:
-    """The pattern, with its spaces as runs of separators."""
-    return pattern.replace("[ -]", RUN).replace(" ?", GAP).replace(" ", RUN)
+is_word = re.compile(WORD).match
+
+
+def compiled(pattern: str) -> re.Pattern:
+    """The pattern, with its spaces as runs of separators (an optional one as any number), between edges of words."""
+    return re.compile(f"(?s)(?<!{WORD})(?:{pattern.replace(' ?', RUN[:-1] + '*').replace(' ', RUN)})(?!{WORD})")
+
+
+def keywords(pattern: str) -> frozenset[str]:
+    """Runs of letters and digits that every match of a pattern must hold: those outside of groups and classes, and not optional.
+
+    With a = before it, a run that must be a whole word. Others have three letters or more.
+    """
+    runs, now, depth, at, start = [], "", 0, 0, 0
+    while at <= len(pattern):
+        c = pattern[at] if at < len(pattern) else " "
+        if depth == 0 and c == "|":
+            return frozenset()
+        if c == "\\":
+            at += 1  # an escape, of whatever kind, ends a run
+        elif c in "[{":
+            at = pattern.index("]" if c == "[" else "}", at + 2)
+        depth += (c == "(") - (c == ")")
+        if depth == 0 and c.isascii() and c.isalnum() and pattern[at + 1 : at + 2] not in ("?", "*", "{"):
+            start = start if now else at
+            now += c
+        elif now:
+            after, before = pattern[at:], pattern[:start]
+            whole = (not before or before.endswith((" ", " )?"))) and (not after or after.startswith((" ", "(?: ")) and after[1:2] != "?" or after.startswith("(?: "))
+            runs.append("=" * whole + now)
+            now = ""
+        at += 1
+    found = frozenset(x for x in runs if len(x) >= 3)
+    return frozenset(x for x in found if x.strip("=") not in COMMON) or found
+
+
+def _identified() -> list[tuple[str, float, int, str]]:
+    out: list[tuple[str, float, int, str]] = []
+    for entry in IDENTIFIERS.replace("\n", "|").split("|"):
+        label, _, names = entry.partition(":")
+        for name in names.split():
+            spelt = re.sub(r"[-.]", " ", name) + "(?: only| or later|\\+)?"
+            out += [(label.strip(), score, priority, way.replace("{id}", spelt)) for score, priority, way in TAGS if way != "{id}" or re.search(r"-\d", name)]
+    return out
 
 
 class Rules:
     """The compiled rules, run behind the keyword prefilter."""
 
     def __init__(self):
-        self.rules = []
-        for label, word, name, spdx in FAMILIES:
-            starts = re.findall(r"(?:^|\|)([a-z]+\d?)", spdx)  # of the identifiers
-            for way, needs, score, priority in WAYS:
-                sides = word.split("|") * ("{name}" in way) + starts * ("{id}" in way)
-                keys = [frozenset(f"{needs} {side}".split()) for side in sides]  # a match holds all of one
-                self.rules.append((keys, label, re.compile(spaced(way.format(name=name, id=f"(?:{spdx})"))), score, priority))
+        lines = [x.split(None, 3) for x in SIGNATURES.strip().split("\n")]
+        spelt = [(label, float(score), int(priority), pattern.replace("{grant}", GRANT)) for label, score, priority, pattern in lines] + _identified()
+        self.rules = [(keywords(pattern), label, compiled(pattern), score, priority) for label, score, priority, pattern in spelt]
+        self.always = [k for k, (keys, *_) in enumerate(self.rules) if not keys]
+        self.by_word: dict[str, list[int]] = {}
+        for k, (keys, *_) in enumerate(self.rules):
+            if keys:
+                self.by_word.setdefault(max(keys, key=lambda x: (len(x), x)), []).append(k)
         self.words = ahocorasick.Automaton()
-        for word in {k for keys, *_ in self.rules for side in keys for k in side}:
+        self.whole = {w[1:] for keys, *_ in self.rules for w in keys if w[0] == "="}
+        for word in {w.strip("=") for keys, *_ in self.rules for w in keys}:
             self.words.add_word(word, word)
         self.words.make_automaton()
 
     def find(self, text: str, prefilter: bool = True) -> list[tuple[str, int, int, float]]:
         """Detections (label, start, end, score) in a lower-cased text, by place; the same with and without the prefilter."""
-        seen = {word for _, word in self.words.iter(text)}
+        if prefilter:
+            seen = set()
+            for last, word in self.words.iter(text):
+                if word not in seen:
+                    seen.add(word)
+                if word in self.whole and f"={word}" not in seen and not is_word(text[last + 1 : last + 2]) and not is_word(text[max(last - len(word), 0) : last - len(word) + 1]):
+                    seen.add(f"={word}")
+            which = sorted([*self.always, *(k for word in seen for k in self.by_word.get(word, ()) if self.rules[k][0] <= seen)])
+        else:
+            which = range(len(self.rules))
         found = []
-        if seen or not prefilter:
-            for keys, label, pattern, score, priority in self.rules:
-                if not prefilter or any(side <= seen for side in keys):
-                    found += [(-priority, m.start() - m.end(), m.start(), m.end(), label, score) for m in pattern.finditer(text)]
-        taken: list[tuple[str, int, int, float]] = []
-        for _, _, start, end, label, score in sorted(found):
-            if not any(a <= start and end <= b for _, a, b, _ in taken):
-                taken.append((label, start, end, score))
-        return sorted(taken, key=lambda x: x[1:3])
+        for k in which:
+            _, label, pattern, score, priority = self.rules[k]
+            found += [(-priority, m.start() - m.end(), m.start(), k, m.end(), label, score) for m in pattern.finditer(text)]
+        return _outermost([(label, start, end, score) for _, _, start, _, end, label, score in sorted(found)])
+
+
+def _outermost(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Of detections in their order, those that do not lie within an earlier taken one, by place."""
+    starts = {x: k for k, x in enumerate(sorted({d[1] for d in found}), 1)}
+    reach, taken = [0] * (len(starts) + 1), []  # reach: a Fenwick tree of the furthest end by start
+    for d in found:
+        k, furthest = starts[d[1]], -1
+        while k:
+            furthest = max(furthest, reach[k])
+            k -= k & -k
+        if furthest < d[2]:
+            taken.append(d)
+            k = starts[d[1]]
+            while k < len(reach):
+                reach[k] = max(reach[k], d[2])
+                k += k & -k
+    return sorted(taken, key=lambda x: x[1:3])
 
 
 _rules: list[Rules] = []
@@ -157,7 +174,10 @@ def license_scan(docs: DataFrame, phrases: list[tuple[str, str]] = BASE, text: s
                     places[w.row[at]].append({"label": label, "word": at - int(w.first[w.row[at]])})
         found = []
         for a, b in zip(w.at[:-1].tolist(), w.at[1:].tolist()):
-            hits = _rules[0].find(w.buf[a : b - 1].tobytes().decode("utf-8", "replace"))
+            hits = _rules[0].find(w.buf[a : b - 1].tobytes().decode("latin-1"))
+            if hits:
+                point = np.cumsum((w.buf[a:b] & 0xC0) != 0x80) - 1  # of each byte, the code point it belongs to
+                hits = [(label, int(point[start]), int(point[end - 1]) + 1, score) for label, start, end, score in hits]
             found.append([dict(zip(("label", "start", "end", "score"), x)) for x in hits])
         kinds = [pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])), pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))]
         cols = [batch.column(c) for c in others] + [pa.array(w.count.astype(np.int64)), pa.array(found, kinds[0]), pa.array([sorted(p, key=lambda x: (x["word"], x["label"])) for p in places], kinds[1])]
