@@ -83,9 +83,9 @@ def test_pfair_windows():
             assert all(k * total // w[s] <= x < -(-(k + 1) * total // w[s]) for k, x in enumerate(at))
         blocks = {s: random.randint(0, 50) for s in w}
         seen = collections.Counter()
-        for s, first, last, base, period, at in mixing.plan(blocks, w):
+        for s, first, last, base, period, n, at in mixing.plan(blocks, w):
             for b in range(first, last + 1):
-                seen[base + (b - first) // len(at) * period + at[(b - first) % len(at)]] += 1
+                seen[base + (b - first) // n * period + at[(b - first) % n]] += 1
         assert sorted(seen) == list(range(sum(blocks.values()))) and set(seen.values()) <= {1}
 
 
@@ -101,6 +101,41 @@ def test_mixing(spark, docs, odd):
     assert [r.mix_position for r in placed] == sorted(r.mix_position for r in placed)
 
 
+def mixed_by_hand(docs, weights, default, block):
+    """doc_id and source to block, slot and place, slot by slot."""
+    order = mixing._order(docs, "doc_id")
+    queue = collections.defaultdict(list)
+    for r in docs.select("doc_id", "source", *(x.alias(f"o{k}") for k, x in enumerate(order))).collect():
+        queue[r.source].append((tuple((x is not None, x) for x in r[2:]), r.doc_id))
+    for rows in queue.values():
+        rows.sort()
+    left, out, slot, done = {s: -(-len(rows) // block) for s, rows in queue.items()}, {}, 0, collections.Counter()
+    while left:
+        weight = {s: weights.get(s, default) if s is not None else default for s in left}
+        some = math.gcd(*weight.values())
+        total, took, at = sum(weight.values()) // some, collections.Counter(), 0
+        while True:
+            share = lambda s, k: (k * total, weight[s] // some)
+            ready = [(math.ceil(share(s, took[s] + 1)[0] / share(s, 0)[1]), "null" if s is None else f"={s}", s) for s in left if share(s, took[s])[0] // share(s, 0)[1] <= at]
+            s = min(ready)[2]
+            for k, (_, d) in enumerate(queue[s][done[s] * block : (done[s] + 1) * block]):
+                out[d, s] = (done[s], slot, slot * block + k)
+            took[s], done[s], left[s], slot, at = took[s] + 1, done[s] + 1, left[s] - 1, slot + 1, at + 1
+            if not left[s]:
+                del left[s]
+                break
+    return out
+
+
+def test_mixing_by_hand(spark, docs):
+    many = spark.range(900).selectExpr("id as doc_id", "concat('s', id % 300) as source", "'a' as n", "id as first", "2 as of")  # 300 sources, and names that the operator uses itself
+    for df, weights, default, block in ((docs, {"src1": 3, "src0": 5}, 2, 3), (docs.selectExpr("doc_id", "if(doc_id % 3 = 0, null, source) as source"), {}, 1, 2), (many, {"s1": 4}, 1, 1)):
+        got = {(r.doc_id, r.source): (r.block, r.slot, r.mix_position) for r in mixing.mix(df, weights, default, block).collect()}
+        assert got == mixed_by_hand(df, weights, default, block)
+    with pytest.raises(ValueError):
+        mixing.mix(many, {"s1": mixing.MAX_SUM})
+
+
 # 3
 
 
@@ -559,6 +594,10 @@ def test_pipeline(spark, odd, tmp_path):
         out.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         sizes.append(docs.count())
+        if name == "substring_dedup":
+            mixed = {r.doc_id: r.mix_position for r in mixing.digest(docs).collect()}
+    order = [r.doc_id for r in docs.orderBy("mix_position").collect()]
+    assert order == sorted(mixed, key=mixed.get) and sorted(r.mix_position for r in docs.collect()) == list(range(len(order)))
     assert sizes == sorted(sizes, reverse=True) and sizes[1] == sizes[4] > 100
     for name, stage in pipeline.STAGES:
         plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
