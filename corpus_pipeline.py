@@ -11,37 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relspark.llm import bpe, mixing, neardup, quality, substring
-from relspark.llm.common import shared_dir, small_batches
+from relspark.llm.common import shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text passes the base rules and whose content lines hold most of it; the field is fitted on labelled ones."""
-    small_batches(spark)
     weights = quality.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.quality_rules(docs, weights).where("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    small_batches(spark)
     return neardup.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of windows that start earlier elsewhere; n_chars follows the text."""
-    small_batches(spark)
     cut = substring.substring_dedup(docs)
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix, from file to file."""
+    """All documents in the order of the mix, from file to file: part by part, and row by row in each."""
     return mixing.in_order(mixing.mix(docs, mixing.WEIGHTS, mixing.DEFAULT_OTHERS)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with n_tokens and ids."""
-    small_batches(spark)
+    """The documents with mix_position (from 0), n_tokens and ids, in the order of the mix like the files that are read."""
+    docs = mixing.in_order(mixing.places(docs))
     return bpe.bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
