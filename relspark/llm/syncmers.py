@@ -3,12 +3,18 @@
 A text's K-word runs are its k-mers; the least hash among the S-word runs inside one decides whether
 it is chosen: it is if that least one stands at either edge. The choice depends on the run alone, so
 an edit changes only the anchors that touch it, and anchors of unchanged parts agree between texts.
-The fingerprint is the KEPT least hashes of the chosen k-mers as hexadecimal text (all of them where
-there are fewer); likeness is the share of the KEPT least hashes of both texts together that are in
-both, an estimate of the Jaccard similarity of the anchors, exact for short texts.
+All anchors of the whole text are kept in order, with the word each starts at.
+
+Texts are matched by position: an anchor matches where the anchor before it is the same and as many
+words away (its link), and a link is located by the GRID-th of the text that it stands in. Likeness is
+the mean of the shares of distinct links, and of distinct located links, that two texts have in common
+(of all that either has). So moved passages lose the second share, and edits only what they touch.
+The fingerprint is the KEPT least links as hexadecimal text (all of them where there are fewer), a dash,
+and a hash of all anchors in order, which tells apart texts whose difference those links do not show.
 
 A text of fewer than K words (some) is one anchor; without words, or null, the fingerprint is empty.
-Two empty fingerprints have likeness 1, an empty one and another 0. The whole text is read.
+Two empty fingerprints have likeness 1, an empty one and another 0. The whole text is read, however long;
+an empty table gives an empty one; columns of the input that bear the names of those added are replaced.
 """
 
 from __future__ import annotations
@@ -18,9 +24,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relspark.llm.common import written
+from relspark.llm.common import dropped, written
 
-K, S, KEPT = 5, 2, 64
+K, S, KEPT, GRID = 5, 2, 64, 8
 
 
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -29,9 +35,10 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """Hashes of the chosen k-mers, by place. The words' hashes are computed once."""
+    """at int and hash long of the chosen k-mers, by place. The words' hashes are computed once."""
     words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
     run = lambda h, i, n: F.xxhash64(*(F.get(h, i + j) for j in range(n)))
+    anchor = lambda i, x: F.struct(i.alias("at"), x.alias("hash"))
 
     def chosen(h: Column, inner: Column) -> Column:
         last = k - s
@@ -40,48 +47,74 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
             edge = F.least(F.get(inner, i), F.get(inner, i + last))
             return edge <= F.least(*(F.get(inner, i + j) for j in range(1, last))) if last > 2 else edge <= F.get(inner, i + 1)
 
-        return F.transform(F.filter(F.sequence(F.lit(0), F.size(h) - k), at_edge), lambda i: run(h, i, k))
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(h) - k), at_edge), lambda i: anchor(i, run(h, i, k)))
 
     def of(h: Column) -> Column:
         inner = F.transform(F.sequence(F.lit(0), F.size(h) - s), lambda i: run(h, i, s))
-        return F.when(F.size(h) >= k, let(inner, lambda x: chosen(h, x))).when(F.size(h) > 0, F.array(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x)))).otherwise(F.array().cast("array<bigint>"))
+        whole = F.array(anchor(F.lit(0), F.aggregate(h, F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x))))
+        return F.when(F.size(h) >= k, let(inner, lambda x: chosen(h, x))).when(F.size(h) > 0, whole).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
-def sketch(text: Column, kept: int = KEPT) -> Column:
-    """The least distinct anchor hashes, ascending."""
-    return F.slice(F.array_sort(F.array_distinct(anchors(text))), 1, kept)
+def placed(text: Column) -> Column:
+    """whole long (a hash of all anchors in order), links and located array<long> (by place) of a text, as a struct."""
+
+    def of(a: Column) -> Column:
+        def links(last: Column) -> Column:
+            def one(i: Column) -> Column:
+                here, before = F.get(a, i), F.get(a, i - 1)
+                return F.xxhash64(before["hash"], here["hash"], here["at"] - before["at"])
+
+            return F.transform(F.sequence(F.lit(0), last), one)
+
+        def struct(x: Column) -> Column:
+            part = lambda i: F.floor(F.get(a, i)["at"] * GRID / (F.element_at(a, -1)["at"] + 1)).cast("int")
+            return F.struct(F.xxhash64(a).alias("whole"), x.alias("links"), F.transform(x, lambda h, i: F.xxhash64(h, part(i))).alias("located"))
+
+        none = F.array().cast("array<bigint>")
+        return F.when(F.size(a) > 0, let(links(F.size(a) - 1), struct)).otherwise(F.struct(F.lit(None).cast("long").alias("whole"), none.alias("links"), none.alias("located")))
+
+    return let(anchors(text), of)
+
+
+def fingerprint(p: Column, kept: int = KEPT) -> Column:
+    """The text form of what placed() gives."""
+    word = lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))
+    least = F.slice(F.array_sort(F.array_distinct(p["links"])), 1, kept)
+    return F.when(F.size(p["links"]) == 0, "").otherwise(F.concat(F.array_join(F.transform(least, word), ""), F.lit("-"), word(p["whole"])))
 
 
-def fingerprint(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+def likeness(p: Column, q: Column) -> Column:
+    """Of what placed() gives for two texts, 0 to 1."""
 
+    def shared(c: str) -> Column:
+        return let(F.size(F.array_intersect(p[c], q[c])), lambda both: both / (F.size(F.array_distinct(p[c])) + F.size(F.array_distinct(q[c])) - both))
 
-def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, kept)
-    return F.when(F.size(both) == 0, 1.0).otherwise(let(both, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u)))
+    return F.when((F.size(p["links"]) == 0) & (F.size(q["links"]) == 0), 1.0).otherwise((shared("links") + shared("located")) / 2)
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All rows and columns with fingerprint string and sketch array<long>."""
-    out = docs.drop("fingerprint", "sketch").withColumn("sketch", sketch(F.col(text)))
-    return out.withColumn("fingerprint", fingerprint(F.col("sketch")))
+    """All rows and columns with fingerprint string and anchors array<struct<at, hash>>."""
+    out = docs.drop("fingerprint", "anchors")
+    return out.withColumns({"fingerprint": fingerprint(placed(F.col(text))), "anchors": anchors(F.col(text))})
 
 
-def neighbours(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n, rows, next_id, prev_id, prev_n of the distinct doc_ids in ascending order (null first), as a ring."""
-    ids = docs.groupBy("doc_id").agg(F.max(F.length(F.coalesce(text, F.lit("")))).cast("long").alias("n"), F.count("*").alias("rows"))
+def neighbours(docs: DataFrame) -> DataFrame:
+    """doc_id, rows, next_id, prev_id of the distinct doc_ids in ascending order (null first), as a ring."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("rows"))
     ranged = ids.repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"))
-    placed = written(ranged.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
-    end = F.struct("doc_id", "n")
-    parts = placed.groupBy("part").agg(F.min_by(end, "at").alias("head"), F.max_by(end, "at").alias("tail"))  # a row for each task
+    at = written(ranged.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
+    end = F.struct("doc_id")
+    parts = at.groupBy("part").agg(F.min_by(end, "at").alias("head"), F.max_by(end, "at").alias("tail"))  # a row for each task
     ring = Window.orderBy("part")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     around = parts.select("part", F.coalesce(F.lead("head").over(ring), F.first("head").over(whole)).alias("after"), F.coalesce(F.lag("tail").over(ring), F.last("tail").over(whole)).alias("before"))
     w = Window.partitionBy("part").orderBy("at")
-    linked = placed.join(around, "part").withColumns({"next": F.coalesce(F.lead(end).over(w), F.col("after")), "prev": F.coalesce(F.lag(end).over(w), F.col("before"))})
-    return written(linked.select("doc_id", "n", "rows", F.col("next.doc_id").alias("next_id"), F.col("prev.doc_id").alias("prev_id"), F.col("prev.n").alias("prev_n")))
+    linked = at.join(around, "part").withColumns({"next": F.coalesce(F.lead(end).over(w), F.col("after")), "prev": F.coalesce(F.lag(end).over(w), F.col("before"))})
+    out = written(linked.select("doc_id", "rows", F.col("next.doc_id").alias("next_id"), F.col("prev.doc_id").alias("prev_id")))
+    dropped(at)
+    return out
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -91,13 +124,14 @@ def digest(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ring = neighbours(docs)
-    lent = docs.join(ring.select(F.col("doc_id").alias("own_id"), "prev_id", "prev_n"), docs.doc_id.eqNullSafe(F.col("own_id")))
+    lent = docs.join(ring.select(F.col("doc_id").alias("own_id"), "prev_id"), docs.doc_id.eqNullSafe(F.col("own_id")))
     if not ring.where("rows > 1").isEmpty():
-        lent = lent.groupBy("own_id", "prev_id", "prev_n").agg(F.min("text").alias("text"))
-    lent = lent.select("prev_id", F.expr("substring(text, 1, int(prev_n div 2))").alias("lent"), sketch(F.col("text")).alias("next_sketch"))
+        lent = lent.groupBy("own_id", "prev_id").agg(F.min("text").alias("text"))
+    lent = lent.select("prev_id", F.col("text").alias("next_text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     pairs = docs.join(lent, docs.doc_id.eqNullSafe(lent.prev_id))
-    made = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("lent"), F.lit(1), half)).alias("edited"), "next_sketch")
-    both = made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("other"), "next_sketch")
-    return both.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_sketch")).alias("near_next"))
+    made = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"), "next_text")
+    both = made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), placed(F.col("text")).alias("own"), placed(F.col("edited")).alias("other"), placed(F.col("next_text")).alias("next"))
+    own, other, after = F.col("own"), F.col("other"), F.col("next")
+    return both.select("doc_id", "n_chars", "edited_sha256", fingerprint(own).alias("fingerprint"), fingerprint(other).alias("edited_fingerprint"), likeness(own, other).alias("near_edited"), likeness(own, after).alias("near_next"))

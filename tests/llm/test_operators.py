@@ -381,6 +381,62 @@ def test_syncmers(spark, docs, odd):
     assert syncmers.digest(odd).count() == odd.count() and syncmers.digest(odd.limit(0)).collect() == []
 
 
+def spark_hash(*xs):
+    """Spark's xxhash64: each value is hashed with the hash so far as its seed; nulls are passed over."""
+    h = 42
+    for x in xs:
+        if x is not None:
+            h = xxhash.xxh64_intdigest(x if isinstance(x, bytes) else x[0].to_bytes(4, "little", signed=True) if isinstance(x, tuple) else x.to_bytes(8, "little", signed=True), h % 2**64)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def placed_by_hand(text, k=5, s=2):
+    h = [spark_hash(w.encode()) for w in words(text)]
+    if len(h) >= k:
+        inner = [spark_hash(*h[i : i + s]) for i in range(len(h) - s + 1)]
+        found = [(i, spark_hash(*h[i : i + k])) for i in range(len(h) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
+    else:
+        x = 0
+        for y in h:
+            x = spark_hash(x, y)
+        found = [(0, x)] if h else []
+    if not found:
+        return "", set(), set()
+    links = [spark_hash(a and a[1], b[1], a and (b[0] - a[0],)) for a, b in zip([None, *found], found)]
+    located = {spark_hash(x, (b[0] * 8 // (found[-1][0] + 1),)) for x, b in zip(links, found)}
+    whole = 42
+    for at, x in found:
+        whole = spark_seeded(spark_seeded(whole, (at,)), x)
+    least = sorted(set(links))[:64]
+    return "".join(f"{x % 2**64:016x}" for x in least) + f"-{whole % 2**64:016x}", set(links), located
+
+
+def spark_seeded(seed, x):
+    return xxhash.xxh64_intdigest(x[0].to_bytes(4, "little", signed=True) if isinstance(x, tuple) else x.to_bytes(8, "little", signed=True), seed % 2**64)
+
+
+def likeness_by_hand(a, b):
+    return 1.0 if not a[1] and not b[1] else (len(a[1] & b[1]) / len(a[1] | b[1]) + len(a[2] & b[2]) / len(a[2] | b[2])) / 2
+
+
+def test_syncmers_by_hand(spark, docs):
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(3000)]
+    texts = [" ".join(base), " ".join(base[1500:] + base[:1500]), " ".join(base[:900] + ["new"] + base[900:]), "", None, "a b", "a b", "a " * 50, *[r.text for r in docs.limit(60).collect()]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in syncmers.digest(df).collect()}
+    texts = [t or "" for t in texts]
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, other, following = map(placed_by_hand, (t, edited, after))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (own[0], other[0]), i
+        assert (got[i].near_edited, got[i].near_next) == pytest.approx((likeness_by_hand(own, other), likeness_by_hand(own, following))), i
+    assert 0.45 < got[0].near_next < 0.6  # the halves swapped: neighbours stay, places do not
+    inserted = likeness_by_hand(placed_by_hand(texts[0]), placed_by_hand(texts[2]))
+    assert 0.9 < inserted < 1 and got[0].fingerprint != got[2].fingerprint
+
+
 def test_anchors_are_closed_syncmers(spark):
     random.seed(4)
     text = " ".join(random.choice("abcdefgh") + str(random.randint(0, 30)) for _ in range(300))
@@ -390,7 +446,7 @@ def test_anchors_are_closed_syncmers(spark):
     x = [r.x for r in inner]
     at = [i for i in range(len(h) - 4) if min(x[i : i + 4]) in (x[i], x[i + 3])]
     want = spark.createDataFrame([(i, *h[i : i + 5]) for i in at], "i int, a long, b long, c long, d long, e long").selectExpr("i", "xxhash64(a, b, c, d, e) as k").orderBy("i").collect()
-    assert df.select(syncmers.anchors(df.t).alias("k")).first().k == [r.k for r in want]
+    assert df.select(syncmers.anchors(df.t).alias("k")).first().k == [(r.i, r.k) for r in want]
 
 
 # 8
