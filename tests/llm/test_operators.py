@@ -502,6 +502,74 @@ def test_quality(docs, odd):
     assert quality.quality_rules(odd.limit(0), weights).collect() == []
 
 
+def features_by_hand(text):
+    """The features of each line, and its words."""
+    w, out, seen, at = words(text), [], set(), 0
+    counts, covered = collections.Counter(zip(w, w[1:], w[2:])), set()
+    for i in range(len(w) - 2):
+        if counts[tuple(w[i : i + 3])] > 1:
+            covered |= {i, i + 1, i + 2}
+    for line in text.split("\n"):
+        own = words(line)
+        letters, n = sum(map(len, own)), max(len(own), 1)
+        again, size = sum(k in covered for k in range(at, at + len(own))) / n, max(letters, 1)
+        count = lambda chars: sum(c in chars for c in line)  # noqa: B023, E731
+        out.append(([1, math.log1p(len(own)), min(10 * count("#*$%&|<>") / size, 2), count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / size, count("0123456789") / size, min(count("|") / n, 2), min(count("!") / n, 2), bool(own) and own[-1][-1] in ".!?:;\"')", min(letters / n, 20) / 10, again, bool(own) and line in seen], len(own)))
+        if own:
+            seen.add(line)
+        at += len(own)
+    return out
+
+
+def test_quality_verdict_by_hand(docs, odd):
+    """Features, labels (every one of the chain's labellings tried on short texts), content share and verdict."""
+    weights = quality.fit_on(docs, docs.sparkSession.read.parquet(f"{SF}/labels.parquet"))
+    step = weights[len(quality.FEATURES) :]
+    for df in (docs, odd):
+        tried = 0
+        for r in quality.quality_rules(df, weights).collect():
+            lines = features_by_hand(r.text or "")
+            x = np.array([f for f, _ in lines], float)
+            assert np.allclose(quality.Lines(pa.array([r.text], pa.string())).x, x)
+            score = x @ weights[: len(quality.FEATURES)]
+            value = lambda y: sum(s for s, k in zip(score, y) if k) + sum(step[2 * a + b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+            label = ["BC".index(c) for c in r.line_labels]
+            if len(lines) <= 10:
+                best = max(value([m >> k & 1 for k in range(len(lines))]) for m in range(1 << len(lines)))
+                assert value(label) == pytest.approx(best)
+                tried += 1
+            share = sum(n for (_, n), k in zip(lines, label) if k) / max(sum(n for _, n in lines), 1)
+            assert r.content_share == pytest.approx(share) and r.kept == (not r.base_failed and share >= quality.KEEP_SHARE)
+        assert tried > 5
+
+
+def test_field_gradient():
+    rng = np.random.default_rng(3)
+    chains = [rng.normal(size=(n, len(quality.FEATURES))) for n in (1, 2, 7, 4)]
+    known = [rng.integers(-1, 2, len(c)).astype(np.int8) for c in chains]
+    theta = rng.normal(size=len(quality.PRIOR))
+    got = quality.gradient(chains, known, theta)
+    for k in range(len(theta)):
+        nudge = np.zeros(len(theta))
+        nudge[k] = 1e-5
+        up, down = (quality.gradient(chains, known, theta + sign * nudge)[-2] for sign in (1, -1))
+        assert got[k] == pytest.approx((up - down) / 2e-5, abs=1e-5)
+
+    def likelihood(x, y):
+        step = theta[len(quality.FEATURES) :]
+        every = [[m >> k & 1 for k in range(len(x))] for m in range(1 << len(x))]
+        value = lambda z: sum(s for s, k in zip(x @ theta[: len(quality.FEATURES)], z) if k) + sum(step[2 * a + b] for a, b in zip(z, z[1:]))
+        fits = [z for z in every if all(a < 0 or a == b for a, b in zip(y, z))]
+        return math.log(sum(math.exp(value(z)) for z in fits)) - math.log(sum(math.exp(value(z)) for z in every))
+
+    assert got[-2] == pytest.approx(sum(likelihood(c, y.tolist()) for c, y in zip(chains, known) if (y >= 0).any()))
+
+
+def test_quality_without_labels(docs):
+    none = docs.sparkSession.createDataFrame([(None, 1), (1, None)], "doc_id long, quality int")
+    assert (quality.fit_on(docs, none) == quality.PRIOR).all()
+
+
 def test_viterbi_is_best():
     random.seed(6)
     for _ in range(200):
