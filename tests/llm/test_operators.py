@@ -459,20 +459,37 @@ def test_urls(spark):
     want = sorted(con.sql(urls.digest_sql()).fetchall(), key=repr)
     got = urls.digest(pages).select("page_id", "host", "path", "rule", "verdict").collect()
     assert sorted(map(tuple, got), key=repr) == want
-    odd = spark.createDataFrame([(1, None), (2, "x"), (3, "http://com/en/?a"), (3, "http://com/en/?a"), (4, "HTTP://WWW.Example.COM/en/7"), (5, "a://b://c/d"), (6, "http://xcom/en/"), (None, "f://free-casino.eu/es/x#y"), (8, "h://n.net/" + "a" * 100_000)], "page_id long, url string")
+    odd = spark.createDataFrame([(1, None), (2, "x"), (3, "http://com/en/?a"), (3, "http://com/en/?a"), (4, "HTTP://WWW.Example.COM/en/7"), (5, "a://b://c/d"), (6, "http://xcom/en/"), (None, "f://free-bonus.eu/es/x#y"), (9, "f://n.eu/a/Casino.html?x"), (10, "f://free.eu/x"), (8, "h://n.net/" + "a" * 100_000)], "page_id long, url string")
     got = {r.page_id: (r.rule, r.verdict) for r in urls.digest(odd).collect()}
-    assert got == {1: (None, "allow"), 2: (None, "allow"), 3: ("com/en/", "block"), 4: ("example.com/en/7", "allow"), 5: (None, "allow"), 6: (None, "allow"), None: (None, "block"), 8: (None, "allow")}
+    assert got == {1: (None, "allow"), 2: (None, "allow"), 3: ("com/en/", "block"), 4: ("example.com/en/7", "allow"), 5: (None, "allow"), 6: (None, "allow"), None: (None, "block"), 9: (None, "block"), 10: (None, "allow"), 8: (None, "allow")}
     assert urls.digest(odd.limit(0)).collect() == []
 
 
 def test_cascade_is_exact(spark):
     universe = spark.range(20_000).selectExpr("xxhash64(id) as a", "xxhash64(7, id) as b")
     keys = spark.range(0, 20_000, 97).selectExpr("xxhash64(id) as a", "xxhash64(7, id) as b")
-    levels = urls.cascade(universe, keys)
     rows = np.array([tuple(r) for r in universe.collect()], np.int64).view(np.uint64)
     want = {tuple(r) for r in keys.collect()}
-    got = urls.listed(levels, rows[:, 0].copy(), rows[:, 1].copy())
-    assert len(levels) > 1 and {tuple(r) for r in rows[got].view(np.int64).tolist()} == want
+    for most in (urls.MAX_LISTED, 70):
+        made = urls.cascades(universe, keys, most)
+        got = urls.listed_among(made, rows[:, 0].copy(), rows[:, 1].copy())
+        assert len(made) == (1 if most > 1000 else 3) and len(made[0]) > 1 and {tuple(r) for r in rows[got].view(np.int64).tolist()} == want
+    none = urls.cascades(universe, keys.limit(0))
+    assert not urls.listed_among(none, rows[:, 0].copy(), rows[:, 1].copy()).any()
+
+
+def test_cascade_ends_with_what_is_left(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MAX_LEVELS", 2)
+    universe = spark.range(5000).selectExpr("xxhash64(id) as a", "xxhash64(7, id) as b")
+    keys = spark.range(0, 5000, 9).selectExpr("xxhash64(id) as a", "xxhash64(7, id) as b")
+    made, rows = urls.cascade(universe, keys), np.array([tuple(r) for r in universe.collect()], np.int64).view(np.uint64)
+    assert isinstance(made[-1], urls.Rest) and {tuple(r) for r in rows[urls.listed(made, rows[:, 0].copy(), rows[:, 1].copy())].view(np.int64).tolist()} == {tuple(r) for r in keys.collect()}
+
+
+def test_url_columns(spark):
+    odd = spark.createDataFrame([(1, "http://a.org/x", "k", "f", "r", "h")], "page_id long, url string, _keys string, found string, row string, host string")
+    row = urls.url_filter(odd).first()
+    assert (row._keys, row.found, row.row, row.host) == ("k", "f", "r", "a.org")
 
 
 # 9
