@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relspark.operators.relation import Range
+from relspark.sources.work import kept
 
 PAGE_BITS = 65_536
 
@@ -47,6 +48,24 @@ class OrderedDictionary:
         hit = self.df.where(bounds.on(F.col(self.key)))
         return hit.orderBy(F.col(self.key).desc() if bounds.descending else F.col(self.key).asc())
 
+    def add(self, key, value=None) -> OrderedDictionary:
+        """With a new entry; KeyError if the key is there."""
+        if not self.get(key).isEmpty():
+            raise KeyError(key)
+        return self.set(key, value)
+
+    def set(self, key, value=None) -> OrderedDictionary:
+        """With this entry, whatever the key held."""
+        entry = self.df.sparkSession.range(1).select(*(F.lit(x).cast(self.df.schema[c].dataType).alias(c) for c, x in ((self.key, key), (self.value, value)) if c))
+        return self._with(self.df.where(F.col(self.key) != F.lit(key)).unionByName(entry))
+
+    def remove(self, key) -> tuple[OrderedDictionary, DataFrame]:
+        """Without this key, and whether it was there."""
+        return self._with(self.df.where(F.col(self.key) != F.lit(key))), self.contains(key)
+
+    def clear(self) -> OrderedDictionary:
+        return self._with(self.df.limit(0))
+
     def remove_range(self, bounds: Range) -> tuple[OrderedDictionary, DataFrame]:
         """Without the keys in the range (none if it is inverted), and how many they were."""
         hit = bounds.on(F.col(self.key))
@@ -72,8 +91,8 @@ def except_with(a: DataFrame, b: DataFrame) -> DataFrame:
 class Bitmap:
     """A lazy set of whole numbers from 0 on. Operations build a plan; nothing runs before df is used."""
 
-    def __init__(self, df: DataFrame, negated: Bitmap | None = None):
-        self._df, self.negated = df, negated
+    def __init__(self, df: DataFrame, negated: Bitmap | None = None, complete: bool = False):
+        self._df, self.negated, self.complete = df, negated, complete
 
     @staticmethod
     def of(df: DataFrame, column: str) -> Bitmap:
@@ -104,6 +123,10 @@ class Bitmap:
     def build(self, most: int) -> DataFrame:
         return self.df.where(F.col("value") <= most)
 
+    def built(self, most: int) -> Bitmap:
+        """The numbers up to most, computed now and written to the shared folder."""
+        return Bitmap(kept(self.build(most)), complete=True)
+
     def count(self) -> DataFrame:
         return self.df.agg(F.count("*").alias("n"))
 

@@ -41,16 +41,18 @@ def _on(keys: list[str]) -> Column:
     return on
 
 
-def insert(old: DataFrame, new: DataFrame, d: RelationDef) -> tuple[DataFrame, DataFrame]:
-    """Adds rows whose key is absent; rows of present keys are left out. Counts: inserted, rejected. new: keys are unique."""
+def insert(old: DataFrame, new: DataFrame, d: RelationDef, on_create: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Adds rows whose key is absent; rows of present keys are left out. Counts: inserted, rejected. new: keys are unique.
+    on_create: values of columns that are set in rows as they are added."""
     fresh = _absent(new, old, d.unique)
     counts = _counts(new, fresh, "rejected")
-    return old.unionByName(fresh), counts
+    return old.unionByName(fresh.withColumns(on_create or {})), counts
 
 
-def upsert(old: DataFrame, new: DataFrame, d: RelationDef, sequence: str | None = None) -> tuple[DataFrame, DataFrame]:
+def upsert(old: DataFrame, new: DataFrame, d: RelationDef, sequence: str | None = None, on_create: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """New rows take the place of those with their key. With a sequence column, later rows of one key win and count
-    as updates, as if they came one by one. Counts: inserted, updated."""
+    as updates, as if they came one by one. on_create: values of columns that are set in rows whose key was absent.
+    Counts: inserted, updated."""
     columns = old.columns
     if sequence:
         w = Window.partitionBy(*d.unique).orderBy(F.col(sequence).desc())
@@ -60,6 +62,8 @@ def upsert(old: DataFrame, new: DataFrame, d: RelationDef, sequence: str | None
         last = new.select(*columns)
     fresh = _absent(last, old, d.unique)
     counts = _counts(new, fresh, "updated")
+    if on_create:
+        last = fresh.withColumns(on_create).unionByName(_present(last, old, d.unique))
     return _absent(old, last, d.unique).unionByName(last), counts
 
 

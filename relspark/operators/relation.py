@@ -152,6 +152,7 @@ class Relation:
             raise ValueError(f"{len(constraints)} constraints for {len(keys)} key columns")
         df, firsts = self.df, []
         for k, (c, name) in enumerate(zip(constraints, keys)):
+            c.check(name, self.df.schema[name].dataType)
             if not c.is_any:
                 df = df.where(c.on(F.col(name)))
             if c.first:
@@ -207,11 +208,16 @@ class Relation:
 
     # links to other relations
 
-    def dereference(self, column: str, target: Relation, prefix: str = "") -> DataFrame:
-        """Rows with the columns of the row that a column points to by primary key, null where there is none."""
-        key = target.definition.unique[0]
-        other = target.df.select(*(F.col(c).alias(f"{prefix}{c}") for c in target.df.columns))
-        return self.df.join(other, F.col(column) == F.col(f"{prefix}{key}"), "left")
+    def dereference(self, columns: str | list[str], target: Relation, prefix: str = "") -> DataFrame:
+        """Rows with the columns of the row that columns point to, one for each column of its primary key; null where there is none."""
+        columns, keys = [columns] if isinstance(columns, str) else columns, target.definition.unique
+        if len(columns) != len(keys):
+            raise ValueError(f"{len(columns)} columns for {len(keys)} key columns")
+        other = target.df.select(*(F.col(c).alias(f"{prefix}{c}") for c in target.df.columns)).alias("there")
+        on = F.lit(True)
+        for c, key in zip(columns, keys):
+            on &= F.col(f"here.{c}") == F.col(f"there.{prefix}{key}")
+        return self.df.alias("here").join(other, on, "left")
 
     def owned(self, content: DataFrame, own: str, foreign: str) -> DataFrame:
         """Rows with each entry of the dictionary, set or bitmap that they own."""

@@ -21,6 +21,11 @@ def size_histograms(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(F.explode(sizes).alias("s")).groupBy("s.kind", "s.size").agg(F.count("*").alias("n"))
 
 
+def version_histogram(df: DataFrame, version: str) -> DataFrame:
+    """version, n: how many rows were written under each version of their class."""
+    return df.groupBy(F.col(version).alias("version")).agg(F.count("*").alias("n"))
+
+
 def type_report(df: DataFrame, kind: str) -> DataFrame:
     """Rows and bytes of each type."""
     return df.groupBy(kind).agg(F.count("*").alias("n"), F.sum(size_of([c for c in df.columns if c != kind])).alias("bytes"))

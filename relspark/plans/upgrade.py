@@ -14,11 +14,14 @@ from relspark.functions import casts
 
 @dataclass(frozen=True)
 class Version:
-    """A schema with its defaults, and converters for fields whose conversion is not the usual one."""
+    """A schema with its defaults, converters for fields whose conversion is not the usual one, names that fields had before,
+    and, for fields of named values, the names that values had before."""
 
     schema: T.StructType
     defaults: dict[str, object] = field(default_factory=dict)
     convert: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
+    renamed: dict[str, str] = field(default_factory=dict)
+    values: dict[str, dict[str, str]] = field(default_factory=dict)
 
 
 def converted(c: Column, old: T.DataType, new: T.DataType) -> Column:
@@ -40,10 +43,13 @@ def converted(c: Column, old: T.DataType, new: T.DataType) -> Column:
 
 def upgraded(df: DataFrame, to: Version) -> DataFrame:
     def one(f: T.StructField) -> Column:
-        if f.name not in df.columns:
+        name = f.name if f.name in df.columns else to.renamed.get(f.name)
+        if name not in df.columns:
             return F.lit(to.defaults.get(f.name)).cast(f.dataType).alias(f.name)
-        c = F.col(f.name)
-        return (to.convert[f.name](c) if f.name in to.convert else converted(c, df.schema[f.name].dataType, f.dataType)).alias(f.name)
+        c = F.col(name)
+        if known := to.values.get(f.name):
+            c = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), c), c)
+        return (to.convert[f.name](c) if f.name in to.convert else converted(c, df.schema[name].dataType, f.dataType)).alias(f.name)
 
     return df.select(*(one(f) for f in to.schema))
 

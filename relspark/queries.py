@@ -15,6 +15,7 @@ from relspark.functions import casts, nested
 from relspark.operators import collections as coll
 from relspark.operators import constraint as c
 from relspark.operators import mutate, stats
+from relspark.operators.objects import Objects
 from relspark.operators.orderer import ascending, by_locale, descending
 from relspark.operators.relation import Range, Relation, RelationDef
 from relspark.plans.query import Field, Query
@@ -152,10 +153,40 @@ def where_float_and_time(spark, d):
     return Query(rel.df, ["event_id"]).where((Field("value") == value) | (Field("ts") == at(str(ts)))).df()
 
 
-@query("select doc_id as oid, 'document' as type, lang as name from documents union all select c_custkey, 'customer', c_name from customer")
-def object_enumerate(spark, d):
+OBJECTS = "(select doc_id as oid, 'document' as type, lang as name from documents union all select 1000000000 + c_custkey, 'customer', c_name from customer)"
+
+
+def objects(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("oid"), F.lit("document").alias("type"), F.col("lang").alias("name"))
-    return docs.union(table(spark, d, "customer").select("c_custkey", F.lit("customer"), "c_name"))
+    return Objects(docs.union(table(spark, d, "customer").select(F.col("c_custkey") + 1_000_000_000, F.lit("customer"), "c_name")))
+
+
+@query(f"select * from {OBJECTS}")
+def object_enumerate(spark, d):
+    return objects(spark, d).enumerate()
+
+
+@query(f"""with n as (select row_number() over (order by s_name) as rn, 'supplier' as type, s_name as name from supplier)
+    select oid, type, case when oid = 5 then 'new' else name end as name from {OBJECTS} union all select (select max(oid) from {OBJECTS}) + rn, type, name from n""")
+def object_store(spark, d):
+    """One object replaced by its oid, and one added for each supplier."""
+    new = table(spark, d, "supplier").select(F.lit(None).cast("long").alias("oid"), F.lit("supplier").alias("type"), F.col("s_name").alias("name"))
+    return objects(spark, d).store(new.union(spark.range(1).select(F.lit(5).cast("long"), F.lit("document"), F.lit("new")))).df
+
+
+@query(f"select * from {OBJECTS} where oid <> 7")
+def object_delete(spark, d):
+    return objects(spark, d).delete(7)[0].df
+
+
+@query(f"select * from {OBJECTS} where type = 'customer' order by oid limit 1")
+def object_singleton(spark, d):
+    return objects(spark, d).singleton("customer")
+
+
+@query(f"select oid, type, strlen(name) as size from {OBJECTS}")
+def object_sizes(spark, d):
+    return objects(spark, d).sized()
 
 
 @query("select doc_id, length(text) as size from documents where doc_id = 5")
@@ -170,7 +201,7 @@ RANGED = "o_orderkey between 100 and 160"
 
 @query(f"select o_orderkey, row_number() over (order by o_orderkey) as rn from orders where {RANGED}")
 def list_by_id_range(spark, d):
-    return numbered(orders(spark, d).list(bounds=Range(100, 160)).select("o_orderkey"), 100, F.col("o_orderkey"))
+    return ranked(orders(spark, d).list(bounds=Range(100, 160)).select("o_orderkey"), [F.col("o_orderkey")])
 
 
 @query("select o_custkey, o_orderdate, o_orderkey, row_number() over (order by o_orderdate desc, o_orderkey desc) as rn from orders where o_custkey = 10 and o_orderdate >= timestamp '1995-06-01' and o_orderdate < timestamp '2000-06-01'")
@@ -417,6 +448,14 @@ def dereference(spark, d):
     return orders(spark, d).dereference("o_custkey", customer(spark, d)).select("o_orderkey", "c_name")
 
 
+@query("""select a.conv_id, a.turn, b.role as before from conversations a left join conversations b on a.conv_id = b.conv_id and a.turn - 1 = b.turn""")
+def dereference_composite(spark, d):
+    """Each turn with the one before it, by both columns of the key."""
+    rel = turns(spark, d)
+    rel.df = rel.df.withColumn("earlier", F.col("turn") - 1)
+    return rel.dereference(["conv_id", "earlier"], turns(spark, d), "b_").select("conv_id", "turn", F.col("b_role").alias("before"))
+
+
 @query("select n_name, c_custkey from nation join customer on n_nationkey = c_nationkey")
 def owned_content(spark, d):
     nation = Relation(table(spark, d, "nation"), RelationDef(["n_nationkey"]))
@@ -444,6 +483,11 @@ def size_histograms(spark, d):
     return stats.size_histograms(table(spark, d, "conversations"), ["conv_id", "turn"])
 
 
+@query("select case when o_orderkey % 3 = 0 then 1 else 2 end as version, count(*) as n from orders group by 1")
+def version_histogram(spark, d):
+    return stats.version_histogram(table(spark, d, "orders").withColumn("v", F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(2)), "v")
+
+
 @query("select source, count(*) as n, sum(strlen(text)) as bytes from documents group by source")
 def type_report(spark, d):
     return stats.type_report(table(spark, d, "documents").select("source", "text"), "source")
@@ -507,6 +551,11 @@ def bitmap_build_bounded(spark, d):
     return _bitmap(spark, d, "click").build(50)
 
 
+@query("select distinct user_id as value from events where event_type = 'click' and user_id <= 50")
+def bitmap_built(spark, d):
+    return _bitmap(spark, d, "click").built(50).df
+
+
 @query("select count(distinct user_id) as n from events where event_type = 'click'")
 def bitmap_count(spark, d):
     return _bitmap(spark, d, "click").count()
@@ -636,6 +685,21 @@ def dict_upsert(spark, d):
     return _dict(spark, d).upsert(new).df
 
 
+@query("select s_suppkey as key, case when s_suppkey = 7 then 'seven' else s_name end as value from supplier union all select -1, 'less' union all select -2, 'new'")
+def dict_set_and_add(spark, d):
+    return _dict(spark, d).set(7, "seven").set(-1, "less").add(-2, "new").df
+
+
+@query("select s_suppkey as key, s_name as value from supplier where s_suppkey <> 7")
+def dict_remove(spark, d):
+    return _dict(spark, d).remove(7)[0].df
+
+
+@query("select count(*) as n from supplier where false")
+def dict_clear(spark, d):
+    return _dict(spark, d).clear().count()
+
+
 @query("select s_suppkey as key, strlen(cast(s_suppkey as varchar)) as key_size, strlen(s_name) as value_size from supplier")
 def dict_sizes(spark, d):
     return _dict(spark, d).sizes()
@@ -775,6 +839,13 @@ def pairs_first_last(spark, d):
     return ends.agg(F.max("first").cast("string").alias("first"), F.max("last").cast("string").alias("last"))
 
 
+@query("select s_suppkey, case when s_suppkey % 2 = 0 then 'set on creation' else s_name end as note from supplier")
+def upsert_on_create(spark, d):
+    """Odd keys are there already; only the others are created."""
+    new = table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("note"))
+    return mutate.upsert(new.where("s_suppkey % 2 = 1"), new, RelationDef(["s_suppkey"]), on_create={"note": F.lit("set on creation")})[0]
+
+
 @query("select s_suppkey, upper(s_name) as s_name from supplier")
 def insert_normalized(spark, d):
     new = table(spark, d, "supplier").select("s_suppkey", "s_name")
@@ -817,6 +888,13 @@ def log_decode_evolved(spark, d):
     return log.decode(_log(spark, d), "event_id bigint, user_id bigint, added bigint", {"added": -1})
 
 
+@query("select event_id, case event_type when 'click' then 'press' else event_type end as kind, user_id from events")
+def log_renamed_values(spark, d):
+    """A field and one of its named values that had other names when the events were written."""
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("user_id", T.LongType())])
+    return read_versions([table(spark, d, "events")], Version(schema, renamed={"kind": "event_type"}, values={"kind": {"click": "press"}}))
+
+
 @query("select event_id // 100 as batch_id, event_id % 100 as seq, event_type as type from events")
 def log_incremental_read(spark, d):
     """Two appends, each read by a streaming query that resumes at its checkpoint."""
@@ -893,11 +971,10 @@ def gather_total_by_secondary(spark, d):
     return part(spark, d).gather_total(c.up_to(20, including=False), index="Size")
 
 
-@query("select doc_id as oid, 'document' as type from documents where lang <> 'en'")
+@query(f"select * from {OBJECTS} where type <> 'document'")
 def object_delete_all_of_type(spark, d):
     """Objects left when those of one kind are gone."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("oid"), F.lit("document").alias("type"), "lang")
-    return mutate.remove(docs, RelationDef(["lang", "oid"]), "en")[0].select("oid", "type")
+    return objects(spark, d).delete_all("document").df
 
 
 @query("select 2 as version")

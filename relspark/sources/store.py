@@ -1,12 +1,14 @@
 """Snapshots of tables on a Hadoop file system: a commit writes a new folder, then its marker; readers see whole commits only.
 
-One writer at a time, as many readers as wanted; a reader keeps the version that it opened. History stays
+Of writers that race for a version one wins, by the file system's rename, and the others raise, without
+touching what it wrote: every commit writes to a folder of its own. As many readers as wanted; a reader keeps the version that it opened. History stays
 until it is pruned. All access goes through Spark's file systems, so any store that Spark reads will do.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,27 +36,35 @@ class Store:
         known = self.versions()
         version = known[-1] + 1 if known else 1
         manifest = self._manifest(known[-1]) if known else {"tables": {}, "user": {}}
+        own = f"{version}-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            path = f"data/{version}/{name}"
-            df.write.mode("overwrite").parquet(f"{self.root}/{path}")
+            path = f"data/{own}/{name}"
+            df.write.parquet(f"{self.root}/{path}")
             manifest["tables"][name] = path
         manifest["user"] |= user or {}
-        out = self._fs.create(self._path(f"{self.root}/commits/{version}.tmp"), True)
+        out = self._fs.create(self._path(f"{self.root}/commits/{own}.tmp"), True)
         out.write(bytearray(json.dumps(manifest), "utf-8"))
         out.close()
-        if not self._fs.rename(self._path(f"{self.root}/commits/{version}.tmp"), self._path(f"{self.root}/commits/{version}.json")):
+        if not self._fs.rename(self._path(f"{self.root}/commits/{own}.tmp"), self._path(f"{self.root}/commits/{version}.json")):
             raise RuntimeError(f"version {version} was published by another writer")
         return version
 
+    def _of(self, version: int | None) -> dict:
+        """The manifest of a version (the newest); KeyError if there is no such version."""
+        known = self.versions()
+        if not known or version is not None and version not in known:
+            raise KeyError(f"no version {version}")
+        return self._manifest(known[-1] if version is None else version)
+
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """A table as of a version (the newest)."""
-        return self.spark.read.parquet(f"{self.root}/{self._manifest(version or self.versions()[-1])['tables'][table]}")
+        return self.spark.read.parquet(f"{self.root}/{self._of(version)['tables'][table]}")
 
     def user(self, version: int | None = None) -> dict[str, int]:
-        return self._manifest(version or self.versions()[-1])["user"]
+        return self._of(version)["user"]
 
     def tables(self, version: int | None = None) -> list[str]:
-        return sorted(self._manifest(version or self.versions()[-1])["tables"])
+        return sorted(self._of(version)["tables"])
 
     def first_difference(self, other: Store, table: str) -> int | None:
         """The first common version at which a table differs, by bisection; None if none does."""

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def work_path(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that setting is absent."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local folder serves a local master (tests); any other is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("relspark.work.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("relspark.work.dir", base)
     return f"{base.rstrip('/')}/relspark-work/{uuid.uuid4().hex}"

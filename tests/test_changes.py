@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from relspark.functions import casts, nested
 from relspark.operators import mutate
 from relspark.operators.collections import Bitmap, OrderedDictionary
+from relspark.operators.objects import Objects
 from relspark.operators.relation import NotFound, Range, RelationDef
 from relspark.plans.query import Field, Query
 from relspark.plans.upgrade import Version, check_key, upgraded
@@ -136,3 +137,44 @@ def test_log(spark):
     assert content(got.select("id", "b")) == [(1, "d"), (2, "d")]
     known, waiting = log.with_type(spark.createDataFrame([(1, 1), (2, 9)], "e int, type_id int"), spark.createDataFrame([(1, "T")], "type_id int, name string"))
     assert known.count() == 1 and waiting.count() == 1
+
+
+def test_single_keys_of_a_dictionary(spark):
+    d = OrderedDictionary(spark.createDataFrame([(1, "a"), (2, "b")], "key long, value string"))
+    assert sorted(map(tuple, d.add(3, "c").set(1, "z").df.collect())) == [(1, "z"), (2, "b"), (3, "c")]
+    with pytest.raises(KeyError):
+        d.add(1, "x")
+    left, found = d.remove(2)
+    assert [tuple(r) for r in left.df.collect()] == [(1, "a")] and found.first()[0] and not d.remove(9)[1].first()[0]
+    assert d.clear().df.isEmpty()
+    s = OrderedDictionary(spark.createDataFrame([(1,)], "key long"), value=None)
+    assert sorted(r.key for r in s.add(2).df.collect()) == [1, 2]
+
+
+def test_two_writers_do_not_touch_each_other(spark, tmp_path):
+    a, b = Store(spark, f"file://{tmp_path}/s"), Store(spark, f"file://{tmp_path}/s")
+    first = a.commit({"t": spark.range(3)})
+    b.versions = lambda: []  # as seen before the other had published
+    with pytest.raises(RuntimeError):
+        b.commit({"t": spark.range(50)})
+    assert a.read("t").count() == 3 and a.read("t", first).count() == 3
+    with pytest.raises(KeyError):
+        a.read("t", 0)
+
+
+def test_objects(spark):
+    o = Objects(spark.createDataFrame([(1, "a", "x"), (4, "b", "yy")], "oid long, type string, content string"))
+    new = spark.createDataFrame([(None, "a", "q"), (None, "a", "p"), (4, "b", "z")], "oid long, type string, content string")
+    assert sorted(map(tuple, o.store(new).df.collect())) == [(1, "a", "x"), (4, "b", "z"), (5, "a", "p"), (6, "a", "q")]
+    left, n = o.delete(4)
+    assert n.first()[0] == 1 and [r.oid for r in left.df.collect()] == [1]
+    assert o.singleton("b").first().content == "yy" and o.singleton("c").isEmpty() and [r.oid for r in o.enumerate("a").collect()] == [1]
+
+
+def test_rows_are_created_once(spark):
+    old = spark.createDataFrame([(1, "old")], "k long, made string")
+    new = spark.createDataFrame([(1, "again"), (2, None)], old.schema)
+    d = RelationDef(["k"])
+    hook = {"made": F.lit("now")}
+    assert sorted(map(tuple, mutate.upsert(old, new, d, on_create=hook)[0].collect())) == [(1, "again"), (2, "now")]
+    assert sorted(map(tuple, mutate.insert(old, new, d, on_create=hook)[0].collect())) == [(1, "old"), (2, "now")]

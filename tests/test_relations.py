@@ -145,3 +145,23 @@ def test_lookups(people, spark):
     assert excluded.count(bounds=Range(5, start_included=False), index="S").first()[0] == 1
     with pytest.raises(ValueError):
         RelationDef(["a", "b"], in_key=["a"])
+
+
+def test_dereference_over_two_key_columns(spark):
+    there = Relation(spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "x long, y long, name string"), RelationDef(["x", "y"]))
+    here = Relation(spark.createDataFrame([(1, 1, 2), (2, 2, 1), (3, 9, 9)], "k long, x long, y long"), RelationDef(["k"]))
+    rows = here.dereference(["x", "y"], there, "to_").select("k", "to_name").orderBy("k").collect()
+    assert [tuple(r) for r in rows] == [(1, "b"), (2, "c"), (3, None)]
+    with pytest.raises(ValueError):
+        here.dereference("x", there)
+
+
+def test_constraints_are_for_types(spark):
+    rel = Relation(spark.createDataFrame([(1, "stra\u00dfe")], "k long, name string"), RelationDef(["k"], secondary={"Name": ["name"]}))
+    for bad in (c.exact("x"), c.starts_with("x"), c.contains("x"), c.list_contains(1), c.exact(True)):
+        with pytest.raises(TypeError):
+            rel.scan_by(bad)
+    with pytest.raises(TypeError):
+        rel.scan_by(c.exact(1), index="Name")
+    found = lambda x: rel.scan_by(x, index="Name").count()
+    assert found(c.contains_ignoring_case("SS")) == 0 and found(c.contains_ignoring_case("STRA\u00dfE")) == 1 and found(c.exact_ignoring_case("STRA\u00dfE")) == 1
