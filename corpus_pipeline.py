@@ -2,6 +2,10 @@
 
 STAGES are (name, function); each function takes (spark, docs, sf_dir), works on all rows that the one
 before kept, and is written and read again. All but the last return the columns of documents.
+
+Null texts count as empty ones and fall to the quality rules, like all texts of under 50 words. Rows without a
+doc_id are no copies of anything; repeated rows count as one document in near-dedup. Texts of any length are
+worked on whole, and an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
