@@ -12,14 +12,15 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 2 << 20
-"""Bytes of text scanned at once; one longer text is scanned alone."""
+SLICE_BYTES, SCAN_BYTES = 2 << 20, 1 << 18
+"""Bytes of text packed as one row, and bytes scanned at once where rows are judged alone; one longer text is scanned alone."""
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -28,10 +29,15 @@ LOWER[65:91] += 32
 _U = np.uint64
 
 
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that setting is absent (tests)."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local folder serves a local master (tests); any other is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("relspark.test.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("relspark.test.dir", base)
     return f"{base.rstrip('/')}/relspark/{uuid.uuid4().hex}"
@@ -42,21 +48,25 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _tables[table] = path
+    return table
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Sends texts to Python workers in batches of so many rows, which bounds what JVM and worker hold of them at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def dropped(*tables: DataFrame) -> None:
+    """Empties written tables that nothing reads any more."""
+    for table in tables:
+        if path := _tables.pop(table, None):
+            table.sparkSession.createDataFrame([], table.schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts together take about SLICE_BYTES."""
+def slices(batch: pa.RecordBatch, column: str = "text", least: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts together take about so many bytes."""
     n = batch.num_rows
     if not n:
         return
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    run = np.cumsum(size) // SLICE_BYTES
+    run = np.cumsum(size) // least
     cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), n]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
@@ -154,7 +164,7 @@ def per_slice(make: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: s
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, SCAN_BYTES):
                 if (out := make(part)) is not None and out.num_rows:
                     yield out
         release()

@@ -18,7 +18,8 @@ fingerprints are one. Components of the links come from contraction (graph.py).
 
 Texts: A-Z in lower case, words joined by a space, shingles with repeats; with fewer words than a
 shingle has, the whole sequence is one; without words (or with a null text) the fingerprint is zero
-and is linked like any other.
+and is linked like any other. A null doc_id belongs to a component like any other, and names one only where all its
+ids are null; repeated rows have one class; an empty table gives an empty one. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relspark.llm.common import Words, per_slice, written
+from relspark.llm.common import Words, dropped, per_slice, written
 from relspark.llm.graph import components
 
 SEED = 42
@@ -115,7 +116,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, text: str = "text") -> Da
     parts = components(links(one)).select(F.col("node").alias("fp"), "component")
     linked = one.join(parts, "fp")
     label = linked.groupBy("component").agg(F.min("least").alias("label"))
-    labels = one.join(linked.join(label, "component").select("fp", "label"), "fp", "left").select("fp", F.coalesce("label", "least").alias("component_id"))
+    # Written, so that both sides of the last join come from a shuffle of their own, whose hot keys Spark can split.
+    labels = written(one.join(linked.join(label, "component").select("fp", "label"), "fp", "left").select("fp", F.coalesce("label", "least").alias("component_id")))
+    dropped(one)
     return found.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
