@@ -2,17 +2,18 @@
 
 Documents are copies of each other where the Jaccard similarity of their sets of five-word shingles
 is SIMILAR or more. Fingerprints at 2 bits (simhash.py) meet only copies that are all but equal: near
-copies at 0.8 to 0.9 were measured 4 to 14 bits apart. So candidate groups come from two sources: whole
-fingerprints within a bit of the same 64 bits, and equal fingerprints of SAMPLES samples, each of the
-SAMPLE shingles that come first in an order of its own (a pair at 0.8 is missed by all with a chance
-of 3 in 100,000). Similar to one member says nothing of another, so no star stands for a group: every
+copies at 0.8 to 0.9 were measured 4 to 14 bits apart. So candidate groups come from two sources: the
+stars of linked fingerprints, and equal fingerprints of SAMPLES samples, each of the WIDE shingles that
+come first in an order of its own (a pair at 0.8 is missed by all with a chance of 8 in 100,000, one at
+0.85 of 2 in a million). Sets of fewer than FEW shingles take samples of NARROW, and those near that size both, so that
+any two sets that may be similar have samples of one kind. Similar to one member says nothing of another, so no star stands for a group: every
 pair in a group is verified on the whole shingle sets, unless its ends are joined already or their
-sizes alone rule it out (_joined). A group of unlike members thus costs all its pairs.
-Components of what holds are the groups of copies.
+sizes or sketches alone rule it out (_joined). A sketch is a bit of each of 256 least hashes; those of a pair at 0.8 differ in 26 bits on
+average, and in more than FAR with a chance of 1 in 1,000 (at 0.85: 2 in a million). Components of what holds are the groups of copies.
 
 Equal word sequences are one text from the start. Nulls count as empty texts; texts without words are
 copies of each other. Rows without a doc_id stay; rows of one doc_id count as one document, of which
-the least text stays.
+the least text stays. Texts are read whole, however long; an empty table gives an empty one; other columns may bear any name.
 """
 
 from __future__ import annotations
@@ -21,16 +22,21 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import Words, mix, per_slice, rolling, written
+from relspark.llm.common import Words, dropped, mix, per_slice, release, rolling, written
 from relspark.llm.graph import components
-from relspark.llm.simhash import fingerprints_of
+from relspark.llm.simhash import fingerprints_of, links
 
 SHINGLE, SIMILAR = 5, 0.8
-SAMPLES, SAMPLE = 20, 4
-MARKS = "doc_id long, t1 long, t2 long, fp long, bands array<long>"
+SAMPLES, WIDE, NARROW, FEW = 40, 7, 4, 32
+ONE_LEADER = 3
+"""Rounds in which only the foremost lead; later ones draw more."""
+FAR = 40
+SKETCH = ["s0", "s1", "s2", "s3"]
+MARKS = "doc_id long, t1 long, t2 long, fp long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
+_TURNS = mix(np.arange(1000, 1256, dtype=np.uint64)) | np.uint64(1)
 
 
 def _shingles(w: Words, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -57,19 +63,23 @@ def _mark(batch: pa.RecordBatch) -> pa.RecordBatch:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)])
         sums.append(total[w.first[1:]] - total[w.first[:-1]])
     key, row = _shingles(w)
-    bands = np.zeros((n, SAMPLES), np.uint64)
     cuts = np.searchsorted(row, np.arange(n + 1)).tolist()
     seeds = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64))
+    bands: list[np.ndarray] = []
+    bits = np.zeros((n, 256), np.uint8)
     for k in range(n):
         own = np.unique(key[cuts[k] : cuts[k + 1]])
-        if len(own) <= SAMPLE:
-            bands[k] = mix(np.array([mix(own).sum(dtype=np.uint64)] * SAMPLES)) + seeds if len(own) else seeds
-        else:
-            order = mix(own[None, :] ^ seeds[:, None])
-            bands[k] = np.partition(order, SAMPLE - 1, axis=1)[:, :SAMPLE].sum(axis=1, dtype=np.uint64) + seeds
+        order = mix(own[None, :] ^ seeds[:, None])
+        first = lambda r: (np.partition(order, r - 1, axis=1)[:, :r] if len(own) > r else order).sum(axis=1, dtype=np.uint64)  # noqa: B023, E731
+        kinds = [first(NARROW) + seeds] * (len(own) < FEW) + [first(WIDE) ^ ~seeds] * (len(own) >= SIMILAR * FEW - 2)
+        bands.append(np.concatenate(kinds))
+        if len(own):
+            bits[k] = (np.concatenate([(part[None, :] * _TURNS[:, None]).min(axis=1)[None] for part in np.array_split(own, len(own) // 2048 + 1)]).min(axis=0) >> np.uint64(20)) & np.uint64(1)
+    size = np.cumsum([0, *map(len, bands)]).astype(np.int32)
     fp = fingerprints_of(batch.column("text"), SHINGLE)
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SAMPLES), pa.array(bands.view(np.int64).ravel()))
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(x.view(np.int64)) for x in (*sums, fp)), lists], names=["doc_id", "t1", "t2", "fp", "bands"])
+    lists = pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate(bands).view(np.int64)))
+    sketch = np.ascontiguousarray(np.packbits(bits, axis=1).view(np.int64).T)
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(x.view(np.int64)) for x in (*sums, fp)), lists, *map(pa.array, sketch)], names=["doc_id", "t1", "t2", "fp", "bands", *SKETCH])
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -79,35 +89,43 @@ def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([np.unique(key[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["doc_id", "shingles"])
 
 
+def _views(column: pa.Array) -> list[np.ndarray]:
+    """The sets of a binary column, without copies."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    return [np.frombuffer(data, np.uint64, (b - a) // 8, a) if b > a else np.zeros(0, np.uint64) for a, b in zip(at, at[1:])]
+
+
 def _similar(batches):
     for batch in batches:
         good = []
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        for x, y in zip(_views(batch.column("a")), _views(batch.column("b"))):
             both = len(np.intersect1d(x, y, assume_unique=True))
             good.append(both >= SIMILAR * (len(x) + len(y) - both))
         yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+    release()
 
 
 def _grouped(texts: DataFrame) -> DataFrame:
     """key, rep, n, weight: the members of each candidate group of two or more, the group's size, and the sum of the sizes of a member's groups."""
-    prints = texts.select("fp").distinct()
-    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b.cast("int"))))
-    near = prints.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("at"))  # prints 2 bits apart are both 1 bit from another
-    shared = near.groupBy("at").count().where("count > 1").select("at")
-    around = near.join(shared, "at").union(prints.select("fp", F.col("fp").alias("at"))).distinct()
+    stars = written(links(texts.select("fp").distinct()))
+    around = stars.select(F.col("u").alias("at"), F.col("v").alias("fp")).union(stars.select("u", "u")).union(texts.select("fp", "fp")).distinct()
     by_print = texts.select("fp", "rep").join(around, "fp").select(F.xxhash64(F.lit(-1), "at").alias("key"), "rep")
-    by_band = texts.select("rep", F.posexplode("bands").alias("sample", "band")).select(F.xxhash64("sample", "band").alias("key"), "rep")
-    members = written(by_print.union(by_band).distinct())
+    by_band = texts.select("rep", F.explode("bands").alias("key"))
+    members = written(by_print.union(by_band.select("key", "rep")).distinct())
     several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     found = written(members.join(several, "key"))
-    return written(found.join(found.groupBy("rep").agg(F.sum("n").alias("weight")), "rep"))
+    weighed = written(found.join(found.groupBy("rep").agg(F.sum("n").alias("weight")), "rep"))
+    dropped(members, found, stars)
+    return weighed
 
 
-def _joined(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _joined(members: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
     """rep, component: the components of all similar pairs that share a candidate group.
 
-    In a round some members of each open group lead (the one met most elsewhere, and at random about 2, 8, 32 ...).
+    In a round some members of open groups lead: those that no member of any of their groups comes before (in the order of
+    how often they are met in all), so that a cluster of copies has one leader whatever its groups; and after
+    ONE_LEADER rounds also about 2, 8, 32 ... of each group at random.
     A leader is verified against each member of its groups that is of another component and has not led. So of each
     pair in a group, either one has led while they were apart, and the pair was verified, or they are in one component
     already; a group is open while members that have not led are of several components.
@@ -120,38 +138,52 @@ def _joined(members: DataFrame, sets: DataFrame) -> DataFrame:
         if led is not None:
             waiting = waiting.join(led, "rep", "left_anti")
         waiting = written(waiting)
-        first = F.min(F.struct(-F.col("weight"), F.xxhash64(F.lit(k), "rep"), F.col("rep").alias("leader")))["leader"]
-        groups = waiting.groupBy("key").agg(first.alias("leader"), F.count("*").alias("left"), F.min("component").alias("low"), F.max("component").alias("high"))
-        live = written(waiting.join(groups.where("low <> high").select("key", "leader", "left"), "key"))
+        foremost = F.min(F.struct((-F.col("weight")).alias("by"), F.xxhash64(F.lit(k), "rep").alias("drawn"), F.col("rep").alias("leader")))
+        groups = waiting.groupBy("key").agg(foremost.alias("foremost"), F.count("*").alias("left"), F.min("component").alias("low"), F.max("component").alias("high"))
+        live = written(waiting.join(groups.where("low <> high").select("key", "foremost", "left"), "key"))
         if live.isEmpty():
+            dropped(waiting, live)
             return state.select("rep", "component")
-        drawn = F.pmod(F.xxhash64(F.lit(k), F.lit("draw"), "rep"), F.lit(1 << 30)) < F.lit(2.0 * 4**k * (1 << 30)) / F.col("left")
-        leaders = written(live.where((F.col("rep") == F.col("leader")) | drawn).select("rep").distinct())
-        ahead = live.join(leaders, "rep").select("key", F.col("rep").alias("u"), F.col("component").alias("cu"), F.col("size").alias("su"))
-        apart = ahead.join(live.select("key", F.col("rep").alias("v"), F.col("component").alias("cv"), F.col("size").alias("sv")), "key")
-        apart = apart.where((F.col("cu") != F.col("cv")) & (F.least("su", "sv") >= SIMILAR * F.greatest("su", "sv")))
+        drawn = F.pmod(F.xxhash64(F.lit(k), F.lit("draw"), "rep"), F.lit(1 << 30)) < F.lit(2.0 * 4 ** (k - ONE_LEADER) * (1 << 30) if k >= ONE_LEADER else 0.0) / F.col("left")
+        met = live.groupBy("rep").agg(F.min("foremost")["leader"].alias("leader"), F.max(drawn).alias("drawn"))
+        leaders = written(met.where("leader = rep or drawn").select("rep"))
+        sketched = lambda df, to: df.join(sketches.select("rep", *(F.col(c).alias(f"{to}{c}") for c in SKETCH)), "rep").withColumnRenamed("rep", to)
+        ahead = sketched(live.join(leaders, "rep").select("key", "rep", F.col("component").alias("cu"), F.col("size").alias("su")), "u")
+        by_key = ahead.groupBy("key").agg(F.collect_list(F.struct("u", "cu", "su", *(f"u{c}" for c in SKETCH))).alias("leaders"))
+        facing = sketched(live.select("key", "rep", F.col("component").alias("cv"), F.col("size").alias("sv")).join(by_key.select("key"), "key", "left_semi"), "v")
+
+        def near(u: Column) -> Column:
+            far = sum((F.bit_count(u[f"u{c}"].bitwiseXOR(F.col(f"v{c}"))) for c in SKETCH), F.lit(0))
+            return (u["cu"] != F.col("cv")) & (F.least(u["su"], F.col("sv")) >= SIMILAR * F.greatest(u["su"], F.col("sv"))) & (far <= FAR)
+
+        # A pair may share many groups: of each member, the leaders to be verified against are gathered before there is a row for each.
+        some = facing.join(by_key, "key").select("v", F.transform(F.filter("leaders", near), lambda u: u["u"]).alias("us")).where("size(us) > 0")
+        apart = some.groupBy("v").agg(F.array_distinct(F.flatten(F.collect_list("us"))).alias("us")).select("v", F.explode("us").alias("u"))
         pairs = written(apart.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         verified = pairs.join(of("v", "b"), "v").join(of("u", "a"), "u").select("u", "v", "a", "b").mapInArrow(_similar, "u long, v long")
         to = lambda end: state.select(F.col("rep").alias(end), F.col("component").alias(f"to_{end}"))
         merged = components(verified.join(to("u"), "u").join(to("v"), "v").select(F.col("to_u").alias("u"), F.col("to_v").alias("v")))
-        state = written(state.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("rep", F.coalesce("to", "component").alias("component"), "size"))
-        led = leaders if led is None else written(led.union(leaders))
+        old, state = state, written(state.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("rep", F.coalesce("to", "component").alias("component"), "size"))
+        was, led = led, leaders if led is None else written(led.union(leaders))
+        dropped(waiting, live, pairs, merged, old, *([was, leaders] if was is not None else []))
 
 
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, without those that are copies of a document with a lesser doc_id."""
     slim = docs.where("doc_id is not null").select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
     marks = written(slim.mapInArrow(per_slice(_mark), MARKS))
-    texts = written(marks.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    texts = written(marks.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), *(F.first(c).alias(c) for c in SKETCH)))
     members = _grouped(texts)
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(slim.join(wanted, "doc_id", "left_semi").mapInArrow(per_slice(_sets), "doc_id long, shingles binary").groupBy("doc_id").agg(F.max("shingles").alias("shingles")).withColumnRenamed("doc_id", "rep"))
-    groups = _joined(members, sets).withColumnRenamed("rep", "node")
+    groups = _joined(members, sets, texts).withColumnRenamed("rep", "node")
     first = groups.groupBy("component").agg(F.min("node").alias("first"))
     gone = groups.join(first, "component").where("node <> first").select(F.col("node").alias("rep"))
     stay = written(texts.select("rep").join(gone, "rep", "left_anti").select(F.col("rep").alias("doc_id")))
     kept = docs.join(stay.distinct(), "doc_id", "left_semi")
-    if not marks.groupBy("doc_id").count().where("count > 1").isEmpty():
+    repeated = not marks.groupBy("doc_id").count().where("count > 1").isEmpty()
+    dropped(marks, texts, members, sets)
+    if repeated:
         whole = F.struct(F.coalesce(text, F.lit("")), F.struct(*docs.columns).alias("row"))
         kept = kept.groupBy("doc_id").agg(F.min(whole).alias("least")).select("least.row.*")
     return kept.unionByName(docs.where("doc_id is null"))
