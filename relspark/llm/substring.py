@@ -17,6 +17,11 @@ Hashes: pass 1 tells probes apart by the bucket and 32 bits (a wrong hit only ma
 pass 2 by a bucket and 64 bits of two independent functions. Places are ordered by doc_id (null
 first), then by a hash of the text, then by word; rows of one doc_id with equal texts are the same
 place, and none of them counts as earlier. Nulls count as empty texts. Fewer than WINDOW words: nothing to cut.
+Texts of any length are read whole; an empty table gives an empty one; columns of the input that bear the names of
+those added are replaced, and any other name may occur.
+
+A slice is numbered by its task and its place in it, so its rows must come in the same order when a task is run
+again: in pass 1 they come as the files of docs have them (write() other inputs first), in pass 2 sorted by place.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relspark.llm.common import Words, release, rolling, slices, written
+from relspark.llm.common import SCAN_BYTES, Words, release, rolling, slices, written
 
 WINDOW, BLOCK = 20, 10
 BUCKET_CHARS = 8 << 20
@@ -215,17 +220,19 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, d
     others = [c for c in docs.columns if c != text]
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     buckets = max(32, 1 << (chars // BUCKET_CHARS).bit_length())
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"), *others)
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"), F.struct(*others).alias("_row"))
     slim = keyed.select("_id", "_th", "_text")
     hits = written(_exchange(slim, _anchors(block), buckets, False).groupBy("_id", "_th").agg(F.first("_at").alias("_hits")))
     # Both joins read all columns of the documents, so that one shuffle of them serves both.
-    cut = _exchange(keyed.join(hits.hint("shuffle_hash"), ["_id", "_th"]), _windows(window, block), buckets, True).groupBy("_id", "_th").agg(F.first("_at").alias("_cut"))
+    near = keyed.join(hits.hint("shuffle_hash"), ["_id", "_th"]).sortWithinPartitions("_id", "_th")
+    cut = _exchange(near, _windows(window, block), buckets, True).groupBy("_id", "_th").agg(F.first("_at").alias("_cut"))
     whole = keyed.join(cut.hint("shuffle_hash"), ["_id", "_th"], "left")
-    schema = T.StructType([*(docs.schema[c] for c in others), *[T.StructField(text, T.StringType())] * (not digests), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), *[T.StructField("kept_sha256", T.StringType())] * digests])
+    results = [*[T.StructField(text, T.StringType())] * (not digests), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), *[T.StructField("kept_sha256", T.StringType())] * digests]
+    schema = T.StructType([keyed.schema["_row"], *(T.StructField(f"_{k}", f.dataType) for k, f in enumerate(results))])
 
     def finish(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SCAN_BYTES):
                 w = Words(part.column("_text"))
                 gone = np.zeros(len(w.start) + 1, np.int64)
                 for row, at in enumerate(part.column("_cut").to_pylist()):
@@ -249,11 +256,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, d
                         for k in np.flatnonzero(gone[a:b]) + a:
                             keep[w.start[k] - w.at[row] : min(after[k], end) - w.at[row]] = False
                         out[row] = w.buf[w.at[row] : end][keep].tobytes().decode()
-                cols = [*(part.column(c) for c in others), *[pa.array(out, pa.string())] * (not digests), pa.array(w.count.astype(np.int64)), pa.array(removed), *[pa.array(out, pa.string())] * digests]
+                cols = [part.column("_row"), *[pa.array(out, pa.string())] * (not digests), pa.array(w.count.astype(np.int64)), pa.array(removed), *[pa.array(out, pa.string())] * digests]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
         release()
 
-    done = whole.drop("_id", "_th").mapInArrow(finish, schema)
+    done = whole.drop("_id", "_th").mapInArrow(finish, schema).select("_row.*", *(F.col(f"_{k}").alias(f.name) for k, f in enumerate(results)))
     return done if digests else done.select(*docs.columns, "n_words", "n_removed")
 
 
