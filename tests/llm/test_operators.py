@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from relspark.llm import bpe, cotrain, katz, licenses, mixing, neardup, quality, queries, simhash, substring, syncmers, urls
 from relspark.llm.graph import components
@@ -61,6 +62,29 @@ def test_cotraining(spark):
     assert sum(r.kept == (r.quality == 1) for r in held) >= 0.95 * len(held)
 
 
+def test_views_teach_each_other(spark, monkeypatch):
+    """Labels know one language only; what the others mean, the metadata view learns from what the content view is sure of."""
+    rng = random.Random(4)
+    plain = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) + str(rng.randint(0, 99)) for _ in range(80)) + "."
+    junk = lambda: " ".join(rng.choice("BUY NOW WIN CASH".split()) + "!!$$" for _ in range(80))
+    rows, labels = [], []
+    for i in range(900):
+        good = i % 2 == 0
+        lang = "en" if i < 300 else "xx" if not good else "yy"
+        rows.append((i, plain() if good else junk(), lang, "s", 500))
+        if i < 300:
+            labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    gap = {}
+    for rounds in (1, 3):
+        monkeypatch.setattr(cotrain, "ROUNDS", rounds)
+        model = cotrain.fit(cotrain.features(docs, known))
+        raw = {r.lang: r for r in docs.groupBy("lang").agg(F.min(F.pmod(F.xxhash64("lang"), F.lit(cotrain.HASHED))).alias("h")).collect()}
+        gap[rounds] = model.w[1][3 + raw["yy"].h] - model.w[1][3 + raw["xx"].h]
+    assert abs(gap[1]) < 0.1 and gap[3] > 1
+
+
 def test_cotraining_odd(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in cotrain.score(odd, none).collect()} == {0.5}
@@ -255,65 +279,106 @@ def test_components(spark):
 # 5
 
 
-def katz_by_hand(rows, least):
+def katz_by_hand(rows, order):
     text = {d: words(low(t)) + ["\n"] for d, t in rows}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in text}
-    c, b = collections.Counter(), collections.Counter()
-    for d, w in text.items():
-        if not held[d]:
-            c.update(w)
-            b.update(zip(["\n"] + w[:-1], w))
-    n, v = sum(c.values()), len(c)
-
-    def turing(counts, low):
+    grams = lambda w, k: zip(*((["\n"] * (k - 1) + w)[i:] for i in range(k)))
+    c = {k: collections.Counter(g for d, w in text.items() if not held[d] for g in grams(w, k)) for k in range(1, order + 1)}
+    n, v = sum(c[1].values()), len(c[1])
+
+    def turing(counts):
         of, d = collections.Counter(counts.values()), {}
         common = 6 * of[6] / of[1] if of[1] else 1.0
         for r in range(1, 6):
-            d[r] = 1.0
             if of[r] and of[r + 1] and common < 1 and 0 < (x := ((r + 1) * of[r + 1] / (r * of[r]) - common) / (1 - common)) < 1:
                 d[r] = x
-            if r < low:
-                d[r] = 0
         return lambda r: d.get(r, 1.0)
 
-    du, db = turing(c, 1), turing(b, least)
-    left, den = 1 - sum(du(r) * r for r in c.values()) / max(n, 1), n
+    d = {k: turing(c[k]) for k in c}
+    left, den = 1 - sum(d[1](r) * r for r in c[1].values()) / max(n, 1), n
     if left < 1e-9:
         left, den = 1 / (n + 1), n + 1
-    one = lambda w: du(c[w]) * c[w] / den if c[w] else left
-    mass, lower = collections.Counter(), collections.Counter()
-    for (h, w), r in b.items():
-        if r >= least:
-            mass[h] += db(r) * r
-            lower[h] += one(w)
+    total, mass, lower = collections.Counter(), collections.Counter(), collections.Counter()
+    for k in range(2, order + 1):
+        for g, r in c[k].items():
+            total[g[:-1]] += r
+            mass[g[:-1]] += d[k](r) * r
+    over = lambda h: total[h] + (mass[h] > total[h] - 1e-6 * max(total[h], 1))
 
     def p(h, w):
-        over = c[h] + (mass[h] > c[h] - 1e-6 * max(c[h], 1))
-        if b[h, w] >= least:
-            return db(b[h, w]) * b[h, w] / over
-        return (1 - mass[h] / over) / max(1 - lower[h], 1e-12) * one(w) if c[h] >= least else one(w)
+        if not h:
+            return d[1](c[1][w,]) * c[1][w,] / den if c[1][w,] else left
+        if not total[h]:
+            return p(h[1:], w)
+        r = c[len(h) + 1][h + (w,)]
+        return d[len(h) + 1](r) * r / over(h) if r else (1 - mass[h] / over(h)) / max(1 - lower[h], 1e-12) * p(h[1:], w)
+
+    for k in range(2, order + 1):
+        for g in c[k]:
+            lower[g[:-1]] += p(g[1:-1], g[-1])
+    rng = random.Random(1)
+    for k in range(1, order):
+        for h in [h[-k:] for h in rng.sample(sorted(x for x in total if len(x) == k), min(20, sum(len(x) == k for x in total)))]:
+            assert abs(sum(p(h, w) for w, in c[1]) + p(h, "unknown word") - 1) < 1e-9
+    score = lambda w: sum(math.log10(p(g[:-1], g[-1])) for g in grams(w, order))
+    return {i: (i, held[i], len(w), sum(c[1][x,] > 0 for x in w), n, sum(math.log10((c[1][x,] + 1) / (n + v + 1)) for x in w), score(w)) for i, w in text.items()}
+
+
+def equal_katz(got, want):
+    assert len(got) == len(want)
+    for r in got:
+        assert tuple(r)[:5] == want[r.doc_id][:5] and tuple(r)[5:] == pytest.approx(want[r.doc_id][5:], rel=1e-9)
 
-    for h in list(c)[:30]:
-        assert abs(sum(p(h, w) for w in c) + p(h, "unknown word") - 1) < 1e-9
-    return {d: (d, held[d], len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(h, x)) for h, x in zip(["\n"] + w[:-1], w))) for d, w in text.items()}
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz(spark, order):
+    small = spark.createDataFrame([(i, ["a b c", "A b c d", None, "x", "a b a b a b", "b c a b d"][i % 6]) for i in range(40)], "doc_id long, text string").repartition(3).cache()
+    equal_katz(katz.score(small, order).collect(), katz_by_hand([tuple(r) for r in small.collect()], order))
 
-def test_katz(spark, docs):
-    small = spark.createDataFrame([(i, ["a b c", "A b c d", None, "x", "a b a b a b"][i % 5]) for i in range(23)], "doc_id long, text string")
-    for df in (docs.select("doc_id", "text"), small):
-        got, want = katz.score(df).collect(), katz_by_hand([tuple(r) for r in df.collect()], 2)
-        assert len(got) == len(want)
-        for r in got:
-            assert tuple(r)[:5] == want[r.doc_id][:5] and tuple(r)[5:] == pytest.approx(want[r.doc_id][5:], rel=1e-9)
-    held = [r for r in katz.score(docs).collect() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
+def test_katz_query(spark, docs):
+    rows = queries.op5_katz(spark, SF).collect()
+    equal_katz(rows, katz_by_hand([(r.doc_id, r.text) for r in docs.collect()], 3))
+    held = {k: sum(r.score for r in katz.score(docs, k).collect() if r.held_out) for k in (1, 2)} | {3: sum(r.score for r in rows if r.held_out)}
+    assert held[3] > held[2] > held[1]
 
-def test_katz_query_counts_pairs_seen_once(spark, docs):
-    got, want = queries.op5_katz(spark, SF).collect(), katz_by_hand([(r.doc_id, r.text) for r in docs.collect()], 1)
-    assert len(got) == len(want)
-    for r in got:
-        assert tuple(r)[:5] == want[r.doc_id][:5] and tuple(r)[5:] == pytest.approx(want[r.doc_id][5:], rel=1e-9)
+
+def test_katz_split_histories(spark, docs, monkeypatch):
+    """Hot histories over many buckets, and slices of a few texts."""
+    monkeypatch.setattr(katz, "CODED_BYTES", 20_000)
+    some = docs.where("doc_id % 4 = 0").select("doc_id", "text")
+    equal_katz(katz.score(some, hot=3).collect(), katz_by_hand([tuple(r) for r in some.collect()], 3))
+
+
+def test_distinct():
+    rng = np.random.default_rng(2)
+    for scale in (8, 1 << 40):
+        cols = [rng.integers(0, 8, 500) * (scale // 8) for _ in range(3)]
+        found, of = katz.distinct(*cols)
+        rows = list(zip(*(c.tolist() for c in found)))
+        assert rows == sorted(set(zip(*(c.tolist() for c in cols)))) and all((f[of] == c).all() for f, c in zip(found, cols))
+
+
+def test_grouping_where_hashes_collide():
+    rng = np.random.default_rng(7)
+    cols = [rng.integers(0, 5, 400).astype(np.uint64) for _ in range(3)]
+    whole, hist = cols[0] * np.uint64(25) + cols[1] * np.uint64(5) + cols[2], cols[0] * np.uint64(5) + cols[1]
+    for key, history in ((whole, hist), (whole % np.uint64(7), hist), (whole, hist % np.uint64(3))):
+        order, new, of = katz._grouped(cols, key, history)
+        ids = np.empty(len(order), np.int64)
+        ids[order] = np.cumsum(new) - 1
+        assert len(set(zip(ids.tolist(), whole.tolist()))) == len(set(whole.tolist())) == new.sum()
+        assert len(set(zip(of.tolist(), hist[order[new]].tolist()))) == len(set(hist.tolist()))
+
+
+def test_packed_columns():
+    rng = np.random.default_rng(6)
+    for top in (5, 1 << 33):
+        for n in (0, 1, 200):
+            rows = sorted(zip(*(rng.integers(0, 4, n) * (top // 4) for _ in range(3))))
+            rows = rows[n // 2 :] + rows[: n // 2]  # mostly in order
+            cols = [np.array(c, np.int64) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 3
+            assert all((a == b).all() for a, b in zip(katz._unpacked(katz._packed(cols)), cols))
 
 
 def test_katz_odd(odd):
@@ -361,6 +426,16 @@ def test_substring_repeated_rows(spark, parts):
     assert got == {(3, own, 0): 2, (None, nameless, 0): 2, (5, shared, 0): 1, (7, "x ", 25): 2}
 
 
+def test_substring_order_and_names(spark, docs):
+    some = docs.select("doc_id", "text")
+    want = {tuple(r) for r in substring.digest(some).collect()}
+    assert {tuple(r) for r in substring.digest(some.orderBy(F.rand(3)).repartition(7)).collect()} == want
+    named = some.selectExpr("doc_id", "text", "'a' as _id", "'b' as _th", "'c' as _text", "'d' as _row", "'e' as _0", "'f' as _hits")
+    out = substring.substring_dedup(named)
+    assert out.columns == [*named.columns, "n_words", "n_removed"] and {tuple(r) for r in out.select("_id", "_th", "_text", "_row", "_0", "_hits").distinct().collect()} == {tuple("abcdef")}
+    assert {(r.doc_id, r.n_removed) for r in out.collect()} == {(x[0], x[2]) for x in want}
+
+
 # 7
 
 
@@ -724,6 +799,30 @@ def test_near_dedup_base_is_not_least(spark):
     assert sorted(r.doc_id for r in neardup.one_of_each(df).collect()) == [0, 10_000, 20_000, 30_000]
 
 
+def test_near_dedup_of_a_template(spark):
+    """Texts of one template, just too unlike each other, and pairs of copies among them."""
+    rng, texts = random.Random(12), []
+    base = [f"t{i}" for i in range(240)]
+
+    def changed(words_, n, name):
+        w = list(words_)
+        for k, at in enumerate(rng.sample(range(2, 238, 6), n)):
+            w[at] = f"{name}x{k}"
+        return w
+
+    for k in range(200):
+        texts.append(changed(base, 3, f"s{k}"))
+    for k in range(40):
+        first = changed(base, 3, f"p{k}")
+        texts += [first, changed(first, 4, f"q{k}")]
+    sets = [{tuple(w[i : i + 5]) for i in range(236)} for w in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {i for i, g in enumerate(union(len(sets), pairs)) if i == g}
+    assert len(want) < 245
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in neardup.one_of_each(df).collect()} == want
+
+
 def test_pipeline(spark, odd, tmp_path):
     import corpus_pipeline as pipeline
 
