@@ -256,12 +256,16 @@ class Slice:
         hist[self.first] = hist[-1] = below.of[-1]
         split = 1 + self.history_counts(k) // self.hot
         sub = (self.hash[one.of] % split[hist].astype(np.uint64)).astype(np.int64)
-        bucket = (below.bucket[hist] + sub * STRIDE) % self.buckets
+        bucket = (below.bucket[hist].astype(np.int64) + sub * STRIDE) % self.buckets
+        del sub
         (out.bucket, out.hist, out.word), out.of = distinct(bucket, hist, one.of)
         out.lower = np.empty(len(out.hist), np.int64)
         out.lower[out.of] = below.of
         out.seen = np.bincount(out.of[:-1][self.train], minlength=len(out.hist))
         out.split = split[out.hist] > 1
+        if len(out.of) < 1 << 31:  # places and buckets are small
+            for c in ("bucket", "hist", "word", "lower", "of", "seen"):
+                setattr(out, c, getattr(out, c).astype(np.int32))
         return out
 
     def mass(self, k: int) -> np.ndarray:
@@ -464,7 +468,7 @@ def score(docs: DataFrame, order: int = ORDER, hot: int = HOT) -> DataFrame:
                 sums = [np.add.reduceat(x, s.first) for x in ((one > 0)[tokens].astype(np.int64), np.log10((one + 1.0) / (total + kinds + 1.0))[tokens], np.log10(p))]
                 cols = [ids, pa.array(s.held), pa.array(s.size), pa.array(sums[0]), pa.array(np.full(len(s.size), total, np.int64)), *map(pa.array, sums[1:])]
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in RESULT.split(", ")])
-                del s
+                del s, row, one, tokens, p, sums, cols
         release()
 
     return state.mapInArrow(run, RESULT)
