@@ -823,6 +823,55 @@ def test_near_dedup_of_a_template(spark):
     assert {r.doc_id for r in neardup.one_of_each(df).collect()} == want
 
 
+def noisy(n, rng):
+    """Copies of one text of 150 words, each with 1 to 14 words changed, some changes alike."""
+    out = []
+    for k in range(n):
+        w = [f"t{i}" for i in range(150)]
+        for at in rng.sample(range(150), rng.choice([1, 1, 1, 2, 2, 3, 4, 6, 9, 14])):
+            w[at] = f"x{rng.randint(0, 40)}"
+        out.append(" ".join(w))
+    return out
+
+
+def shingles(text):
+    w = words(low(text))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_dedup_rare_shingles(spark):
+    """Pairs that share a rare shingle are all named; what is left bounds the others, so that few pairs of a large group remain."""
+    texts = noisy(400, random.Random(6))
+    sets = [shingles(t) for t in texts]
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(400)), "text": texts})
+    df = spark.createDataFrame(list(zip(range(400), neardup._sets(docs).column("shingles").to_pylist())), "rep long, shingles binary")
+    numbers, pairs = neardup._rare(df)
+    count = collections.Counter(x for s in sets for x in s)
+    rare = [{x for x in s if count[x] <= neardup.RARE} for s in sets]
+    assert {r.rep: r.n for r in numbers.collect()} == {k: len(x) for k, x in enumerate(rare) if x}
+    named = {(r.u, r.v) for r in pairs.collect()}
+    assert named == {(i, j) for j in range(400) for i in range(j) if rare[i] & rare[j]}
+    similar = [(i, j) for j in range(400) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    group, left, apart = union(400, similar), len(named), 0
+    for j in range(400):
+        for i in range(j):
+            both = min(len(sets[i]) - len(rare[i]), len(sets[j]) - len(rare[j]))
+            may = both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+            assert may or (i, j) in named or len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j])
+            left += may and group[i] != group[j]
+            apart += group[i] != group[j]
+    assert left < apart / 4
+
+
+def test_near_dedup_of_noisy_copies(spark):
+    texts = noisy(400, random.Random(8))
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for j in range(400) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = {i for i, g in enumerate(union(400, pairs)) if i == g}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 50 < len(want) < 350 and {r.doc_id for r in neardup.one_of_each(df).collect()} == want
+
+
 def test_pipeline(spark, odd, tmp_path):
     import corpus_pipeline as pipeline
 
