@@ -409,6 +409,12 @@ def _meet(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(out, _schema(MET))])
 
 
+def parts(buckets: int) -> int:
+    """Partitions of the state and of its answers: its rows take megabytes, so most partitions are to hold one row or none.
+    A bucket takes as many characters as a row, so there are at least half as many buckets as rows, mostly more."""
+    return buckets
+
+
 def ask(state: DataFrame, k: int, buckets: int, hot: int) -> DataFrame:
     """state with the answers to the n-grams of k words (a), the sums over all buckets (s), and the sums of split histories (x)."""
 
@@ -430,7 +436,7 @@ def ask(state: DataFrame, k: int, buckets: int, hot: int) -> DataFrame:
     met = state.mapInArrow(send, ASKED).groupBy("bucket").applyInArrow(_meet_words if k == 1 else _meet, MET).where("slice is not null")
     sums = [F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(COUNTED)]
     some = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "v", "w", "e", "f"))
-    every = met.repartition("slice").groupBy("slice", "hist").agg(F.sort_array(F.collect_list(some)).alias("a"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"), *sums, F.sum("low").alias("low"))
+    every = met.repartition(parts(buckets), "slice").groupBy("slice", "hist").agg(F.sort_array(F.collect_list(some)).alias("a"), F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"), *sums, F.sum("low").alias("low"))
     read = (F.size("a") >= -1) & (F.size("hs") >= -1) & (sum((F.coalesce(f"n{i}", F.lit(0)) for i in range(COUNTED)), F.lit(0)) >= -1) & (F.coalesce("low", F.lit(0.0)) >= -1)
     numbers = F.array(*(F.coalesce(f"n{i}", F.lit(0)) for i in range(COUNTED)))
     total = every.where(F.when(read & (F.size("a") == 0), F.col("hist").isNull()).otherwise(False))
@@ -453,7 +459,7 @@ def score(docs: DataFrame, order: int = ORDER, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one words) and score of each document."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(32, 1 << (chars // BUCKET_CHARS).bit_length())
-    state = coded(docs).repartition("slice")
+    state = coded(docs).repartition(parts(buckets), "slice")
     for k in range(1, order + 1):
         state = ask(state, k, buckets, hot)
 

@@ -760,6 +760,13 @@ def test_license_suppression_is_a_sweep(spark):
     assert len(row.detections) == 60_000 and row.detections[0].start == 2 and row.detections[0].end == 32
 
 
+def test_katz_deals_rows_of_megabytes_over_many_partitions(docs):
+    """By as many partitions as buckets; before, in partitions that Spark made as large as it liked, several rows at once."""
+    plan = katz.score(docs)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(slice#\d+L, (\d+)\), REPARTITION_BY_(\w+)", plan)
+    assert dealt and set(dealt) == {(str(katz.parts(32)), "NUM")}
+
+
 # pipeline
 
 
